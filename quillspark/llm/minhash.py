@@ -23,8 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, mix, read, table, text_bytes
@@ -43,6 +42,11 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _SEED = 20240501
 
 
+def row_number() -> Column:
+    """A row's number: the same at each run over the same written table."""
+    return F.monotonically_increasing_id()
+
+
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.full(n + 1, base, np.uint64)
     out[0] = 1
@@ -115,7 +119,7 @@ def features(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """uid (of the row, the same at each run over the same input), doc_id, n (set size), a, b (digest), sig (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker, uid = Circulant(), TaskContext.get().partitionId() << 40
+        maker = Circulant()
         for b in batches:
             data, at = text_bytes(b.column("t"))
             n, da, db, sig = [], [], [], []
@@ -126,11 +130,9 @@ def features(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                     da.append(x)
                     db.append(y)
                     sig.append(maker.signature(s).tobytes() if len(s) else None)
-            ids = np.arange(uid, uid + b.num_rows)
-            uid += b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(da, pa.int64()), pa.array(db, pa.int64()), pa.array(sig, pa.binary())], ["uid", "doc_id", "n", "a", "b", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(da, pa.int64()), pa.array(db, pa.int64()), pa.array(sig, pa.binary())], ["uid", "doc_id", "n", "a", "b", "sig"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "uid long, doc_id long, n long, a long, b long, sig binary")
+    return docs.select(row_number().alias("uid"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "uid long, doc_id long, n long, a long, b long, sig binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -250,6 +252,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     return seen.join(best, "root").select("uid", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("uid") == F.col("first.uid")).alias("kept_row"))
 
 
+def first_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of docs, a written table, that are the first of their group."""
+    kept = near_duplicates(docs, percent).where("kept_row").select(F.col("uid").alias("_uid"))
+    return docs.withColumn("_uid", row_number()).join(kept, "_uid", "left_semi").drop("_uid")
+
+
 def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))

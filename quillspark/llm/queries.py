@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from .langid import op9_language_id
 from .minhash import op5_minhash_dedup
+from .packing import op3_best_fit_packing
+from .pii import op2_pii
 from .quality import op4_quality
 
 QUERIES = {
+    "op2_pii": op2_pii,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality": op4_quality,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op9_language_id": op9_language_id,
