@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .ann import op1_nearest_neighbours
+from .embedding_dedup import op7_embedding_dedup
 from .langid import op9_language_id
 from .minhash import op5_minhash_dedup
 from .packing import op3_best_fit_packing
@@ -9,10 +11,12 @@ from .pii import op2_pii
 from .quality import op4_quality
 
 QUERIES = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_pii": op2_pii,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality": op4_quality,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op9_language_id": op9_language_id,
 }
 ORACLES: dict[str, str] = {}
