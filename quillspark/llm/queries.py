@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op1_nearest_neighbours
+from .chat import OP6_SQL, op6_chat_format
 from .embedding_dedup import op7_embedding_dedup
 from .langid import op9_language_id
 from .minhash import op5_minhash_dedup
@@ -16,7 +17,8 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality": op4_quality,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_chat_format": op6_chat_format,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op9_language_id": op9_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_chat_format": OP6_SQL}
