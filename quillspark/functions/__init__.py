@@ -1 +1 @@
-"""Functions of the engine."""
+"""Column functions: text positions in bytes, running sums, whole-character windows."""
