@@ -38,7 +38,7 @@ def stem(path: Column) -> Column:
 
 
 def corpus_folder(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id (the file's stem as a number), text: one row a file."""
+    """doc_id (the file's stem as a number), text: one row a file; files without a byte give none."""
     files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
     return files.select(stem(F.input_file_name()).try_cast("long").alias("doc_id"), F.col("value").alias("text"))
 

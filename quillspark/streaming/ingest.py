@@ -21,13 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def document_stream(spark: SparkSession, path: str) -> DataFrame:
-    """New Parquet files under a folder (or matching a glob) as a stream of documents."""
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    try:
-        return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path) if not name.endswith(".parquet") else spark.readStream.schema(schema).parquet(f"{folder}/{name}*")
-    except Exception:
-        return spark.readStream.schema(schema).parquet(path)
+    """Parquet files at a path, a file or a folder, as a stream of documents."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
 
 
 def counts_by(spark: SparkSession, path: str, pattern: str, group: str) -> DataFrame:
