@@ -8,8 +8,8 @@
    of copies are one row from here on.
 3. Candidates. Each band bucket with several classes links its members to its smallest class: a star, not all pairs.
 4. Verification. Members meet their star's centre in a salted, sorted stream of whole texts; a task holds one centre's set and one
-   member's. Buckets that then still hold several components (their members are not all linked to the centre) are settled among
-   each other: signatures are compared in blocks, pairs whose estimate could reach the threshold are verified exactly.
+   member's. Buckets that then still hold several components (their members are not all linked to the centre) are settled in
+   blocks: pairs of different components whose signatures could reach the threshold are verified on their full sets right there.
 5. Components over verified links.
 
 Defined cases: null and empty texts have no shingles, link with nothing and form components of their own; fewer than five words
@@ -34,10 +34,10 @@ WORDS = 5
 UNIVERSE_BITS = 22
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
-#: An estimate below this, of a pair at the threshold 0.85, is over six standard deviations off.
-LEAST_ESTIMATE = 0.65
+#: An estimate below this, of a pair at the threshold 0.85, is five standard deviations off.
+LEAST_ESTIMATE = 0.69
 #: Members of one star per sorted group, and rows of a bucket per block.
-STAR_BLOCK, BUCKET_BLOCK = 256, 512
+STAR_BLOCK, BUCKET_BLOCK = 256, 2048
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEED = 20240501
 
@@ -192,33 +192,73 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, ke
     return rows.mapInArrow(run, "u long, v long").distinct()
 
 
-def _rest(open_buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of one bucket, of different components, whose signatures agree enough; compared block against block."""
-    size = open_buckets.groupBy("band", "key").agg(((F.count("*") - 1) / BUCKET_BLOCK).cast("int").alias("last"))
-    rows = open_buckets.join(size, ["band", "key"]).withColumn("blk", F.pmod(F.xxhash64("c", F.lit(3)), F.col("last") + 1).cast("int"))
-    meet = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    meet = meet.select("band", "key", F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "blk", "c", "root")
-    meet = meet.join(classes.select("c", "sig", "n"), "c")
+def _sets(members: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """c, shingles (64-bit hashes as binary) of the classes in members: c, doc_id, n, a, b."""
+    texts = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t"))
+    rows = members.join(texts, members.doc_id.eqNullSafe(texts.d)).select("c", "n", "a", "b", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = text_bytes(batch.column("t"))
+            c, n, da, db = (batch.column(k).to_numpy() for k in ("c", "n", "a", "b"))
+            found = []
+            for i, j in chunks(at):
+                for r, x in zip(range(i, j), shingles(data[at[i] : at[j]], at[i : j + 1] - at[i]), strict=True):
+                    if len(x) == n[r] and digest(x) == (da[r], db[r]):  # not another row with the same id
+                        found.append((int(c[r]), x.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["c", "shingles"])
+
+    return rows.mapInArrow(run, "c long, shingles binary").groupBy("c").agg(F.first("shingles").alias("shingles"))
+
+
+def _rest(open_buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links u, v between different components that share a bucket.
+
+    A bucket's largest component is not compared with itself: its members, in blocks, meet the blocks of the other members, and
+    these meet each other. A task holds two blocks with their full sets: pairs whose signatures could reach the threshold, in the
+    first band that they share, are verified on the sets unless the links found so far join them already. Only links leave it.
+    """
+    by = open_buckets.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+    main = by.groupBy("band", "key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("nm"), (F.sum("n") - F.max("n")).alias("no"))
+    last = lambda n: ((F.col(n) - 1) / BUCKET_BLOCK).cast("int")
+    rows = open_buckets.join(main, ["band", "key"]).select("band", "key", "c", "root", (F.col("root") == F.col("main")).alias("in_main"), last("nm").alias("lm"), last("no").alias("lo"))
+    own = F.pmod(F.xxhash64("c", F.lit(3)), F.when(F.col("in_main"), F.col("lm")).otherwise(F.col("lo")) + 1).cast("int")
+    rows = rows.withColumn("b", own)
+    all_blocks = lambda n: F.sequence(F.lit(0), F.col(n))
+    cell = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    b = F.col("b")
+    to_main = F.transform(all_blocks("lo"), lambda o: cell(0, b, o))
+    to_others = F.concat(F.transform(all_blocks("lm"), lambda m: cell(0, m, b)), F.transform(all_blocks("lo"), lambda o: cell(1, F.least(b, o), F.greatest(b, o))))
+    meet = rows.withColumn("cell", F.explode(F.when(F.col("in_main"), to_main).otherwise(to_others)))
+    meet = meet.select("band", "key", "cell.*", "b", "in_main", "c", "root").join(classes.select("c", "sig").join(sets, "c"), "c")
 
     def run(t: pa.Table) -> pa.Table:
-        x = t.column("x")[0].as_py()
-        y = t.column("y")[0].as_py()
-        blk, c, root, n = (t.column(k).to_numpy() for k in ("blk", "c", "root", "n"))
-        sig = np.stack([np.frombuffer(s, np.int32) for s in t.column("sig").to_pylist()])
-        left = np.flatnonzero(blk == x)
-        right = left if x == y else np.flatnonzero(blk == y)
+        kind, x, y, band = (t.column(k)[0].as_py() for k in ("kind", "x", "y", "band"))
+        blk, c, root = (t.column(k).to_numpy() for k in ("b", "c", "root"))
+        in_main = t.column("in_main").to_numpy()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int32).reshape(len(c), BANDS, ROWS)
+        full = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in full])
+        left = np.flatnonzero(~in_main if kind == 0 else blk == x)
+        right = np.flatnonzero(in_main) if kind == 0 else left if x == y else np.flatnonzero(blk == y)
+        group = root.copy()  # the component of each row, as known here
         us, vs = [], []
         for i in left:
-            ok = right[(root[right] != root[i]) & ((c[right] > c[i]) | (x != y))]
-            ok = ok[100 * np.minimum(n[ok], n[i]) >= 85 * np.maximum(n[ok], n[i])] if len(ok) else ok
-            if len(ok):
-                ok = ok[(sig[ok] == sig[i]).mean(1) >= LEAST_ESTIMATE]
-                us.append(np.minimum(c[ok], c[i]))
-                vs.append(np.maximum(c[ok], c[i]))
-        cat = lambda z: pa.array(np.concatenate(z) if z else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"u": cat(us), "v": cat(vs)})
-
-    return meet.groupBy("band", "key", "x", "y").applyInArrow(run, "u long, v long").distinct()
+            ok = right[(group[right] != group[i]) & ((c[right] > c[i]) | (kind == 0) | (x != y))]
+            ok = ok[100 * np.minimum(n[ok], n[i]) >= percent * np.maximum(n[ok], n[i])]
+            if not len(ok):
+                continue
+            same = sig[ok] == sig[i]
+            likely = same.mean((1, 2))
+            fit = (likely >= LEAST_ESTIMATE) & ~same[:, :band].all(2).any(1)
+            for j in ok[fit][np.argsort(-likely[fit], kind="stable")]:
+                if group[i] != group[j] and _linked(full[i], full[j], percent):
+                    us.append(int(c[i]))
+                    vs.append(int(c[j]))
+                    group[group == group[j]] = group[i]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return meet.groupBy("band", "key", "kind", "x", "y").applyInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -238,13 +278,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     roots = connected_components(links)
     placed = buckets.join(roots.select(F.col("v").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     mixed = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo != hi and m > 2")
-    open_buckets = table(placed.join(mixed.select("band", "key"), ["band", "key"]), "open")
+    open_buckets = table(placed.join(mixed.select("band", "key"), ["band", "key"]).select("band", "key", "c", "root"), "open")
     if open_buckets.head(1):
-        pairs = table(_rest(open_buckets, classes).join(stars, ["u", "v"], "left_anti"), "rest")
-        if pairs.head(1):
-            more = table(_verify(pairs, classes, docs, text, key, percent), "links")
-            if more.head(1):
-                roots = connected_components(links.union(more))
+        members = open_buckets.select("c").distinct().join(classes.select("c", "doc_id", "n", "a", "b"), "c")
+        more = table(_rest(open_buckets, classes, table(_sets(members, docs, text, key), "sets"), percent), "links")
+        if more.head(1):
+            roots = connected_components(roots.select(F.col("v").alias("u"), F.col("root").alias("v")).union(more))
     member = classes.select("n", "a", "b", "c").join(roots.select(F.col("v").alias("c"), "root"), "c", "left").select("n", "a", "b", F.coalesce("root", "c").alias("root"))
     seen = rows.select("uid", "doc_id", "n", "a", "b").join(member, ["n", "a", "b"], "left").select("uid", "doc_id", "n", F.coalesce("root", "uid").alias("root"))
     seen = table(seen, "rooted")

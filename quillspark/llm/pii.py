@@ -159,20 +159,20 @@ def _exact(df: DataFrame, text: str) -> DataFrame:
 
 
 def snippets(n: int = TRAIN_SNIPPETS, seed: int = 11) -> list[dict]:
-    """Generated sentences with one number or address each; y says whether it is personal."""
+    """Generated sentences with one number or address each; k is the kind of personal data that it is."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 9)))
     said = lambda k: " ".join(word() for _ in range(r.randint(1, k)))
     national = lambda: r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(2)} {d(4)} {d(4)}"])
     yes = [
-        lambda: (r.choice(["call", "phone", "tel", "fax:", "mobile", "reach me at"]), national()),
-        lambda: (said(3), f"({d(3)}) {d(3)}-{d(4)}"),
-        lambda: (r.choice(["ssn", "social security", "SSN:", "taxpayer"]), f"{d(3)}-{d(2)}-{d(4)}"),
-        lambda: (r.choice(["iban", "account", "bank account"]), f"{r.choice(['DE', 'FR', 'ES', 'GB'])}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}"),
-        lambda: (r.choice(["mail", "contact", "write to", said(2)]), f"{word()}.{word()} [at] {word()} [dot] com"),
-        lambda: (r.choice(["mail", said(2)]), f"{word()} (at) {word()}.org"),
-        lambda: (r.choice(["server", "host", said(2)]), ":".join(f"{r.randrange(65536):x}" for _ in range(8))),
+        ("phone_national", lambda: (r.choice(["call", "phone", "tel", "fax:", "mobile", "reach me at"]), national())),
+        ("phone_national", lambda: (said(3), f"({d(3)}) {d(3)}-{d(4)}")),
+        ("ssn", lambda: (r.choice(["ssn", "social security", "SSN:", "taxpayer"]), f"{d(3)}-{d(2)}-{d(4)}")),
+        ("iban", lambda: (r.choice(["iban", "account", "bank account"]), f"{r.choice(['DE', 'FR', 'ES', 'GB'])}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}")),
+        ("email_spelled", lambda: (r.choice(["mail", "contact", "write to", said(2)]), f"{word()}.{word()} [at] {word()} [dot] com")),
+        ("email_spelled", lambda: (r.choice(["mail", said(2)]), f"{word()} (at) {word()}.org")),
+        ("ipv6", lambda: (r.choice(["server", "host", said(2)]), ":".join(f"{r.randrange(65536):x}" for _ in range(8)))),
     ]
     no = [
         lambda: (r.choice(["pages", "section", "score", "order", "invoice", "isbn", "version", "range"]), f"{d(3)}-{d(3)}-{d(4)}"),
@@ -186,9 +186,9 @@ def snippets(n: int = TRAIN_SNIPPETS, seed: int = 11) -> list[dict]:
     ]
     out = []
     for _ in range(n):
-        y = r.random() < 0.5
-        lead, hit = r.choice(yes if y else no)()
-        out.append({"t": f"{said(12)} {lead} {hit}{r.choice([' ', '. ', ', '])}{said(8)}", "y": int(y)})
+        kind, make = r.choice(yes) if r.random() < 0.5 else ("none", r.choice(no))
+        lead, hit = make()
+        out.append({"t": f"{said(12)} {lead} {hit}{r.choice([' ', '. ', ', '])}{said(8)}", "k": kind})
     return out
 
 
@@ -247,10 +247,10 @@ def fit(spark: SparkSession) -> dict:
     app = spark.sparkContext.applicationId
     if app in _models:
         return _models[app]
-    kind = "array<struct<t:string,y:int>>"
-    rows = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(snippets())), kind)).alias("x")).select("x.t", "x.y")
-    found = _proposals(_exact(rows, "t"), "t").select("y", F.explode("_p").alias("p")).select("y", F.array(*(F.col(f"p.f.{n}") for n in FEATURES)).alias("x")).collect()
-    x, y = np.array([r.x for r in found], float), np.array([r.y for r in found], float)
+    kind = "array<struct<t:string,k:string>>"
+    rows = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(snippets())), kind)).alias("x")).select("x.t", "x.k")
+    found = _proposals(_exact(rows, "t"), "t").select("k", F.explode("_p").alias("p")).select("k", F.array(*(F.col(f"p.f.{n}") for n in FEATURES)).alias("x")).collect()
+    x, y = np.array([r.x for r in found], float), np.array([r.k == KINDS[int(r.x[0])] for r in found], float)
     fold = np.arange(len(y)) % 3 == 0
     trees = boost(x[~fold], y[~fold])
     score = trees[0] + sum(tree_values(t, x[fold]) for t in trees[1:])
