@@ -85,14 +85,14 @@ def fit(rows: DataFrame, dim: int, k: int) -> dict:
     n, longest = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))).first()
     chance = F.pmod(F.xxhash64("vec_id", F.lit(_SEED)), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(chance < min(1.0, 0.95 * SAMPLE / max(1, n))).orderBy("vec_id").select(F.col("v").cast("array<double>").alias("v")).limit(SAMPLE).collect()
-    x = np.array([r.v for r in sample]).reshape(-1, dim)
-    if not len(x):
+    if not sample:
         return {"centroids": np.zeros((1, dim + 1)), "probes": 1, "longest": float(longest or 0.0)}
+    x = np.array([r.v for r in sample])
     y = augmented(x, max(float(longest), float(np.sqrt((x**2).sum(1)).max())))
     lists = int(np.clip(math.sqrt(n), 1, min(LISTS, max(1, len(x) // 8))))
     c = kmeans(y, lists)
     queries = np.random.default_rng(_SEED).permutation(len(x))[:SAMPLE_QUERIES]
-    return {"centroids": c, "probes": probes_for(y, c, queries, x, k), "longest": float(np.sqrt((x**2).sum(1)).max()) if longest is None else float(longest)}
+    return {"centroids": c, "probes": probes_for(y, c, queries, x, k), "longest": float(longest)}
 
 
 def scan(q: np.ndarray, x: np.ndarray, bound: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray]:

@@ -113,15 +113,19 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Best-bin estimate of the share of positives among the unlabelled, from scores on rows that were not fitted."""
-    best = 1.0
+    """Best-bin estimate of the share of positives among the unlabelled, from scores on rows that were not fitted.
+
+    The threshold is the one with the least upper confidence bound of the ratio; the estimate is the ratio there.
+    """
+    best = (np.inf, 1.0)
     p, u = np.sort(positive), np.sort(unlabelled)
     for q in np.linspace(0.0, 0.9, 91):
         t = np.quantile(p, q)
         above_p, above_u = (p >= t).mean(), (u >= t).mean()
         margin = (np.sqrt(np.log(400) / (2 * len(p))) + np.sqrt(np.log(400) / (2 * len(u)))) / max(above_p, 1e-9)
-        best = min(best, above_u / max(above_p, 1e-9) + 0.3 * margin)
-    return float(np.clip(best, 0.02, 0.98))
+        ratio = above_u / max(above_p, 1e-9)
+        best = min(best, (ratio + margin, ratio))
+    return float(np.clip(best[1], 0.02, 0.98))
 
 
 def _adam(x: np.ndarray, grad, epochs: int, rate: float = 0.05) -> np.ndarray:
@@ -139,14 +143,13 @@ def fit_arrays(positive: np.ndarray, unlabelled: np.ndarray, epochs: int = 400)
     mean, scale = both.mean(0), both.std(0) + 1e-3
     scaled = lambda x: np.clip(np.hstack([(x - mean) / scale, np.ones((len(x), 1))]), -8, 8)
     p, u = scaled(positive), scaled(unlabelled)
-    half_p, half_u = len(p) // 2, len(u) // 2
 
     def plain(w):  # separates labelled from unlabelled; only for the prior
-        a, b = p[:half_p], u[:half_u]
+        a, b = p[::2], u[::2]
         return -(a * (1 - _sigmoid(a @ w))[:, None]).mean(0) + (b * _sigmoid(b @ w)[:, None]).mean(0)
 
     w0 = _adam(p, plain, 150)
-    prior = class_prior(p[half_p:] @ w0, u[half_u:] @ w0)
+    prior = class_prior(p[1::2] @ w0, u[1::2] @ w0)
 
     def risk_gradient(w):
         sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
