@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,8 +94,6 @@ def variant_table(spark: SparkSession, words: list[str], risky: bool = False, ru
 
 def expand_column(df: DataFrame, word: str, risky: bool = False, rules: list[Rule] = RULES, long: list[tuple[str, str]] = LONG) -> DataFrame:
     """df with `forms`, the variants of each row's word. Order-dependent and bounded, so an Arrow-batched function."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def forms(words: pd.Series) -> pd.Series:
         return words.map(lambda w: expand(w, risky, rules, long) if w else [])

@@ -39,7 +39,7 @@ def stem(path: Column) -> Column:
 
 def corpus_folder(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the file's stem as a number), text: one row a file; files without a byte give none."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
     return files.select(stem(F.input_file_name()).try_cast("long").alias("doc_id"), F.col("value").alias("text"))
 
 
@@ -97,7 +97,7 @@ def probe_sample(spark: SparkSession, path: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line, value of JSON-lines logs; files are small, each is read as one text so that line numbers are those of the file."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.jsonl").text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.jsonl")
     rows = files.select(stem(F.input_file_name()).alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("p", "value"))
     return rows.select("file", (F.col("p") + 1).cast("long").alias("line"), "value")
 

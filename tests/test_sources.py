@@ -40,10 +40,10 @@ def test_greedy_selection_equals_sweeps(spark):
 
 
 def test_texts_zips_and_caps(spark, tmp_path):
-    for i, t in ((7, "abc"), (12, "日本"), (3, "")):
+    for i, t in ((7, "a\nb"), (12, "日本"), (3, "")):
         (tmp_path / f"{i:06d}.txt").write_text(t, encoding="utf-8")
     d = readers.corpus_folder(spark, str(tmp_path))
-    assert {r.doc_id: r.text for r in d.collect()} == {7: "abc", 12: "日本"}  # a file without a byte has no row
+    assert {r.doc_id: r.text for r in d.collect()} == {7: "a\nb", 12: "日本"}  # a file without a byte has no row
     assert sorted(r.doc_id for r in readers.capped(d, 3).collect()) == [7]
     with zipfile.ZipFile(tmp_path / "000005.zip", "w") as z:
         z.writestr("a.html", "x")
