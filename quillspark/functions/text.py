@@ -104,3 +104,18 @@ def flat(text: Column) -> Column:
 def rstrip(line: Column) -> Column:
     """Without white space at the end, Unicode's and the separators U+001C to U+001F included."""
     return F.regexp_replace(line, r"(?U)[\s\x1c-\x1f]+$", "")
+
+
+def fnv1a(b: Column) -> Column:
+    """The 64-bit FNV-1a hash of binary data in hexadecimal: a fold over bytes on two 32-bit halves."""
+    low = (1 << 32) - 1
+    pairs = F.regexp_extract_all(F.hex(b), F.lit("(..)"), F.lit(1))
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
+
+    def step(a: Column, pair: Column) -> Column:
+        x = a["lo"].bitwiseXOR(F.conv(pair, 16, 10).cast("long"))
+        product = x * 0x1B3  # the prime is 2^40 + 0x1b3
+        hi = (a["hi"] * 0x1B3 + F.shiftright(product, 32) + x * 256).bitwiseAND(F.lit(low).cast("long"))
+        return F.struct(hi.alias("hi"), product.bitwiseAND(F.lit(low).cast("long")).alias("lo"))
+
+    return F.aggregate(pairs, start, step, lambda a: F.lower(F.concat(F.lpad(F.hex(a["hi"]), 8, "0"), F.lpad(F.hex(a["lo"]), 8, "0"))))

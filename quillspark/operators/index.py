@@ -73,20 +73,31 @@ def suffix_array(texts: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return suffixes(texts, key, text).select(key, (F.row_number().over(w) - 1).cast("long").alias("row"), F.col("pos").cast("long").alias("pos"), "bwt")
 
 
-def suffix_array_doubling(text: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Suffix order of one long text given as rows (pos, ch), by prefix doubling: ranks of 1, 2, 4, ... characters.
+def _dense(pairs: DataFrame) -> DataFrame:
+    """r, r2, rank: places of distinct pairs in order. Ranks r are dense, so ranges of r are even parts; only their counts meet."""
+    parts = pairs.distinct().withColumn("part", F.floor(F.col("r") / 4096))
+    counts = parts.groupBy("part").agg(F.count("*").alias("n"))
+    base = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    local = F.row_number().over(Window.partitionBy("part").orderBy("r", "r2"))
+    return parts.withColumn("local", local).join(base, "part").select("r", "r2", (F.col("base") + F.col("local") - 1).alias("rank"))
 
-    Each round is a join of ranks with ranks shifted by the length so far and a dense rank; rows stay narrow at any text length.
+
+def suffix_array_doubling(text: DataFrame) -> DataFrame:
+    """row, pos: the suffix order of one long text given as rows (pos from 0, ch), by prefix doubling.
+
+    Ranks of 1, 2, 4, ... characters: each round joins ranks with ranks further on, and ranks the distinct pairs. Rows stay narrow
+    at any length; a checkpoint ends each round.
     """
     n = text.count()
-    rank = text.select("pos", F.dense_rank().over(Window.orderBy("ch")).cast("long").alias("r"))
+    letters = text.select(F.ascii("ch").cast("long").alias("r"), F.lit(0).cast("long").alias("r2"), "pos")
+    rank = letters.join(_dense(letters.select("r", "r2")), ["r", "r2"]).select("pos", (F.col("rank") + 1).alias("r"))
     step = 1
-    while step < max(1, n) and (rounds is None or rounds > 0):
+    while step < n:
         after = rank.select((F.col("pos") - step).alias("pos"), F.col("r").alias("r2"))
-        both = rank.join(after, "pos", "left").withColumn("r2", F.coalesce("r2", F.lit(0)))
-        rank = both.select("pos", F.dense_rank().over(Window.orderBy("r", "r2")).cast("long").alias("r")).checkpoint() if step * 2 < n else both.select("pos", F.dense_rank().over(Window.orderBy("r", "r2")).cast("long").alias("r"))
+        both = rank.join(after, "pos", "left").select("pos", "r", F.coalesce("r2", F.lit(0)).alias("r2"))
+        rank = both.join(_dense(both.select("r", "r2")), ["r", "r2"]).select("pos", (F.col("rank") + 1).alias("r")).checkpoint()
         step *= 2
-    return rank.select(F.col("r").alias("row"), "pos")
+    return rank.select((F.col("r") - 1).alias("row"), "pos")
 
 
 def symbol_counts(columns: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -88,6 +88,20 @@ def kwic_by_shard(docs: DataFrame, forms: list[str], shard: Column, max_rows: in
     return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_rows)
 
 
+def within_budget(rows: DataFrame, forms: list[str], stop: int = PAGE_STOP) -> DataFrame:
+    """Rows of forms in order as long as the forms before brought fewer than `stop` rows; a form that has begun stays whole."""
+    order = F.create_map(*(F.lit(x) for i, f in enumerate(forms) for x in (f, i)))
+    n = rows.groupBy("form").agg(F.count("*").alias("_n")).withColumn("_o", F.try_element_at(order, F.col("form")))
+    w = Window.orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as forms
+    begun = n.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).where(F.col("_before") < stop)
+    return rows.join(F.broadcast(begun.select("form")), "form", "left_semi")
+
+
+def shards_with_hits(docs: DataFrame, forms: list[str], shard: Column) -> DataFrame:
+    """shard_id, ord, form, hits of shards and forms that occur."""
+    return count_by_form(docs.withColumn("shard_id", shard), forms, ["shard_id"])
+
+
 def page(rows: DataFrame, number: int, size: int) -> DataFrame:
     """Page `number` (from 0) by document, form and position. Sorting is global, so only top rows travel."""
     return rows.orderBy("doc_id", "form", "pos").offset(number * size).limit(size)

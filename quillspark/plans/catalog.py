@@ -169,6 +169,19 @@ def kwic_facet_filtered(spark, sf_dir):
     return rows
 
 
+@query(f"select * from (select cast(doc_id // 100 as bigint) as shard_id, ord, form, {FORM_HITS} from documents, (values {VALUES_FORMS}) f(ord, form) group by all) where hits > 0")
+def shards_with_hits(spark, sf_dir):
+    return search.shards_with_hits(docs(spark, sf_dir), FORMS, F.floor(F.col("doc_id") / 100))
+
+
+BUDGET_FORMS = ["tionnt", "ción", "sch"]
+
+
+@query(f"with {places('tionnt')}, a as (select doc_id, {windows('tionnt', 30)} from place), {places('ción').replace('cut', 'cut1').replace('hit as', 'hit1 as').replace('from hit', 'from hit1').replace('place as', 'place1 as')}, b as (select doc_id, {windows('ción', 30)} from place1 where (select count(*) from place) < 400) select * from a union all select * from b")
+def kwic_budget(spark, sf_dir):
+    return search.within_budget(search.kwic(docs(spark, sf_dir), BUDGET_FORMS), BUDGET_FORMS).select("doc_id", "pos", "form", "before", "hit", "after")
+
+
 # --- facets ----------------------------------------------------------------------------------------------------------------
 
 COUNTED = f"(select doc_id, lang, source, cast((strlen(text) - strlen(replace(text, '{WORD}', ''))) / {len(WORD)} as bigint) as hits from documents where contains(text, '{WORD}'))"

@@ -1,0 +1,26 @@
+import json
+
+from quillspark import cli
+from quillspark.api import Corpus
+
+
+def test_corpus(spark, sf):
+    c = Corpus.load(spark, f"{sf}/documents.parquet")
+    text = [r.text for r in c.docs.collect()]
+    assert c.size() == len(text) and c.count("the") == sum(t.count("the") for t in text) and c.count("") == 0
+    assert c.kwic("the", max_rows=3).count() == sum(min(3, t.count("the")) for t in text)
+    assert c.count_with_variants("こえ", True).count() == 3 and c.variants("") == []
+    assert c.shards(50_000).count() == len(text)
+    c.views("v_")
+    assert spark.sql("select count(*) n from v_rules where on_by_default").first().n == 7
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    assert cli.main(["kwic", f"{sf}/documents.parquet", "the", "2"]) == 0
+    record = {"v": "1.2", "ts": "t", "project": "p", "loop_id": "l", "event": "failure", "data": {"code": "E"}}
+    (tmp_path / "l.jsonl").write_text(json.dumps(record) + "\n")
+    assert cli.main(["log-validate", str(tmp_path)]) == 1
+    assert cli.main(["log-summary", str(tmp_path)]) == 0
+    assert cli.main(["log-export", str(tmp_path), str(tmp_path / "out")]) == 0
+    assert "failure.severity" in capsys.readouterr().out
+    assert spark.read.option("header", True).csv(str(tmp_path / "out/view_two_strike")).count() == 1

@@ -34,6 +34,13 @@ def test_prefix_doubling(spark, tmp_path):
     assert got == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_fnv(spark):
+    from quillspark.functions import text as tx
+
+    df = spark.createDataFrame([("",), ("a",), ("foobar",)], "t string").select(tx.fnv1a(F.encode("t", "UTF-8")).alias("h"))
+    assert [r.h for r in df.collect()] == ["cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8"]
+
+
 def test_shard_plan_fixture(spark):
     sizes = [10, 20, 5, 100, 3, 4, 60, 7]
     df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, bytes long")
