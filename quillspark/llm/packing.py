@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Lead bytes of code points from U+0240 on: texts that hold them take the general path.
 _FAR_LEAD = 0xC9
+#: Texts that are encoded before their pieces leave the worker.
+SLICE = 256
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, r long"
 
 
@@ -69,20 +72,25 @@ class Encoder:
         return np.array(self.general.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a file; a worker keeps it over its tasks."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, with_ids: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row for each piece; part and r are the task and the rank among its pieces of that length."""
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = Encoder(path), TaskContext.get().partitionId()
+        encode, part = encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for b in batches:
+        for b in (whole.slice(s, SLICE) for whole in batches for s in range(0, whole.num_rows, SLICE)):
             data, at = text_bytes(b.column("t"))
-            far = np.concatenate([[0], np.cumsum(data >= _FAR_LEAD)])
-            far = far[at[1:]] - far[at[:-1]]
+            far = [bool((data[i:j] >= _FAR_LEAD).any()) for i, j in zip(at, at[1:], strict=False)]
             row, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
-            for i, text_i in enumerate(b.column("t").to_pylist()):
-                x = np.append(encode(text_i or "", not far[i]), np.uint32(end_id))
+            for i, value in enumerate(b.column("t")):
+                x = np.append(encode(value.as_py() or "", not far[i]), np.uint32(end_id))
                 first = len(x) % capacity or capacity
                 for k, a in enumerate([0, *range(first, len(x), capacity)]):
                     cut = x[a : first if not k else a + capacity]
