@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,8 +38,17 @@ def count_overlapping(text: Column, pattern: str) -> Column:
     return F.coalesce(F.when(F.contains(text, F.lit(pattern)), n), F.lit(0)).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running_sums(values: Column) -> Column:
     """Inclusive running sums of an array<bigint>. Sums run within chunks, then over the chunks, so long arrays stay cheap."""
+    return let(values, _running_sums)
+
+
+def _running_sums(values: Column) -> Column:
     empty = F.array().cast("array<bigint>")
 
     def within(at: Column) -> Column:
@@ -64,10 +74,10 @@ def positions(text: Column, pattern: str, chars: bool = False) -> Column:
     size = F.length if chars else F.octet_length
     parts = stretches(text, pattern)
     ends = running_sums(F.transform(parts, lambda p: size(p).cast("long")))
-    starts = F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0)))
-    here = F.startswith(text, F.lit(pattern))
+    starts = let(ends, lambda e: F.slice(e, 1, F.greatest(F.size(e) - 1, F.lit(0))))
     # a text that begins with the pattern is not cut at its start
-    found = F.when(here, F.concat(F.array(F.lit(0).cast("long")), starts)).otherwise(starts)
+    first = F.when(F.startswith(text, F.lit(pattern)), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    found = F.concat(first, starts)
     return F.when(F.contains(text, F.lit(pattern)), found).otherwise(F.array().cast("array<bigint>"))
 
 
