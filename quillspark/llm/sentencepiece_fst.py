@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import read
 
 BLANK = "▁"
-#: Units and pairs that a worker remembers before it starts afresh.
-MEMORY = 600_000
+#: Units and pairs that a worker remembers before it starts afresh; units of the last such stretch stay at hand.
+MEMORY = 350_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -68,6 +69,17 @@ def _message(b: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+def trie(ids: dict[str, int]) -> dict:
+    """Pieces by their characters; the empty key of a node holds the piece that ends there."""
+    root: dict = {}
+    for p, i in ids.items():
+        node = root
+        for c in p:
+            node = node.setdefault(c, {})
+        node[""] = i
+    return root
+
+
 class Transducer(dict):
     """Maps a unit (less its first U+2581) to the bytes of its ids, little-endian 32-bit; units are composed when first asked for."""
 
@@ -75,6 +87,7 @@ class Transducer(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.before: dict[str, bytes] = {}
         self.piece: list[tuple[str, float, int]] = []
         self.unigram, self.prefix = True, True
         with open(path, "rb") as f:
@@ -90,46 +103,48 @@ class Transducer(dict):
         self.score = [s for _, s, _ in self.piece]
         self.byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.piece) if kind == self.BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(self.piece) if kind == self.UNKNOWN), 0)
-        self.longest = max(map(len, self.id), default=1)
         self.penalty = 10 - min((self.score[i] for i in self.id.values()), default=0.0)
         self.rank = {p: self.score[i] for p, i in self.id.items()}
-        self.begins = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
+        self.trie = trie(self.id)
         self.pair: dict[int, bool] = {}
         self.shown = [bytes([int(p[3:5], 16)]) if kind == self.BYTE else p.encode() if kind in (self.NORMAL, 4) else b"" for p, _, kind in self.piece]
         self.shown[self.unknown] = " ⁇ ".encode()
 
-    def merged(self, s: str) -> list[str]:
-        """What merging makes of a short string: best score first, leftmost of equals."""
-        parts, rank = list(s), self.rank
-        found = [rank.get(x + y, -math.inf) for x, y in zip(s, s[1:])]
+    def weight(self, a: int, b: int) -> bool:
+        """Whether the pair weighs 0; a is -1 at the start, -2 after a fallback arc."""
+        key = (a + 2) << 32 | b
+        if len(self.pair) >= 2 * MEMORY:
+            self.pair.clear()
+        first, second = self.piece[a][0] if a >= 0 else "", self.piece[b][0]
+        self.pair[key] = self.apart(first, second)
+        return self.pair[key]
+
+    def apart(self, first: str, second: str) -> bool:
+        """Whether the merges of two pieces' string make these pieces; the first merge across the boundary decides."""
+        parts, rank, left = [*first, *second], self.rank, len(first)
+        found = [rank.get(x + y, -math.inf) for x, y in zip(parts, parts[1:])]
         while found:
             top = max(found)
             if top == -math.inf:
                 break
             k = found.index(top)
+            if k == left - 1:
+                return False
+            left -= k < left
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
             del found[k]
             if k < len(found):
                 found[k] = rank.get(parts[k] + parts[k + 1], -math.inf)
             if k:
                 found[k - 1] = rank.get(parts[k - 1] + parts[k], -math.inf)
-        return parts
-
-    def weight(self, a: int, b: int) -> bool:
-        """Whether the pair weighs 0; a is -1 at the start, -2 after a fallback arc."""
-        key = (a + 2) << 32 | b
-        if len(self.pair) >= MEMORY:
-            self.pair.clear()
-        first, second = self.piece[a][0] if a >= 0 else "", self.piece[b][0]
-        self.pair[key] = self.merged(first + second) == ([first, second] if first else [second])
-        return self.pair[key]
+        return len(parts) == (2 if first else 1)
 
     def fallback(self, c: str) -> list[int]:
         return [self.byte[x] for x in c.encode()] if len(self.byte) == 256 else [self.unknown]
 
     def compose(self, s: str) -> list[int]:
         """The ids on the path of least weight through the lattice of a normalised string."""
-        n, get, known, begins = len(s), self.id.get, self.pair.get, self.begins
+        n, known, unigram = len(s), self.pair.get, self.unigram
         cost = [0.0] + [math.inf] * n
         back, last = [0] * (n + 1), [-1] * (n + 1)
         for b in range(n):
@@ -137,17 +152,19 @@ class Transducer(dict):
                 continue
             before = (last[b] + 2) << 32
             if s[b] not in self.id:
-                w = cost[b] + (self.penalty if self.unigram else 0.0)
+                w = cost[b] + (self.penalty if unigram else 0.0)
                 if w < cost[b + 1]:
                     cost[b + 1], back[b + 1], last[b + 1] = w, b, -2
-            for e in range(b + 1, min(n, b + self.longest) + 1):
-                part = s[b:e]
-                if part not in begins:
+            node, e = self.trie, b
+            for c in s[b:]:
+                node = node.get(c)
+                if node is None:
                     break
-                i = get(part)
+                e += 1
+                i = node.get("")
                 if i is None:
                     continue
-                if self.unigram:
+                if unigram:
                     w = cost[b] - self.score[i]
                 elif cost[e] == 0.0:  # a place has one path of finite weight
                     continue
@@ -169,9 +186,14 @@ class Transducer(dict):
         return out[::-1]
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= MEMORY:
+        made = self.before.get(unit)
+        if len(self) >= MEMORY:  # what was in use lately stays at hand
+            self.before = dict(self)
             self.clear()
-        made = self[unit] = np.array(self.compose(BLANK + unit), "<i4").tobytes()
+        if made is not None:
+            self[unit] = made
+            return made
+        made = self[unit] = array("i", self.compose(BLANK + unit)).tobytes()
         return made
 
     def encode(self, text: str) -> bytes:

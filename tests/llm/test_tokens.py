@@ -43,8 +43,8 @@ def test_unigram_weights_take_the_least_path():
     t.piece = [("<unk>", 0.0, 2), ("▁", -1.0, 1), ("a", -3.0, 1), ("ab", -4.0, 1), ("b", -2.5, 1), ("▁a", -2.0, 1)]
     t.id = {p: i for i, (p, _, k) in enumerate(t.piece) if k == 1}
     t.score = [s for _, s, _ in t.piece]
-    t.begins = {p[:k] for p in t.id for k in range(1, len(p) + 1)}
-    t.longest, t.penalty, t.byte, t.unknown = 2, 20.0, {}, 0
+    t.trie = fst.trie(t.id)
+    t.penalty, t.byte, t.unknown = 20.0, {}, 0
     assert t.compose("▁ab") == [5, 4]  # 4.5, against 5 for ▁ + ab
     assert t.compose("▁?") == [1, 0]
 
