@@ -218,9 +218,8 @@ def prunable(sets: DataFrame, pattern: str) -> DataFrame:
 
 def gram_index(docs: DataFrame, n: int = 3, key: str = "doc_id") -> DataFrame:
     """gram, key: the distinct n-character grams of each text."""
-    at = F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1)))
-    grams = F.array_distinct(F.transform(at, lambda i: F.substring(F.col("text"), i, F.lit(n))))
-    return docs.select(key, F.explode(grams).alias("gram")).where(F.length("gram") == n)
+    grams = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    return docs.select(key, F.explode(grams).alias("gram"))
 
 
 def gram_candidates(grams: DataFrame, pattern: str, n: int = 3, key: str = "doc_id") -> DataFrame:
