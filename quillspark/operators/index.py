@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,6 +142,146 @@ def samples(columns: DataFrame, step: int = SAMPLE, by: str = "row") -> DataFram
     return columns.where(F.col(by) % step == 0)
 
 
+# --- whole texts ----------------------------------------------------------------------------------------------------------
+# The columns above for texts of any length, each text on its own in one task: nothing is shuffled and no suffix is written out.
+# Null texts have no rows, as above; repeated ids are texts of their own.
+
+#: Rows of output after which a batch is passed on.
+BATCH = 1 << 18
+
+
+def suffix_order(codes: np.ndarray) -> np.ndarray:
+    """Places from 0 (the last is the sentinel's) of all suffixes of code points, in order.
+
+    Prefix doubling: a first sort by as many symbols as fit in 62 bits, then only suffixes that still share a rank are sorted, by
+    their rank and that of the suffix `step` further on. A shared rank means `step` equal symbols, so that one exists.
+    """
+    symbols, dense = np.unique(codes, return_inverse=True)
+    n, bits = len(codes) + 1, max(1, len(symbols).bit_length())
+    step = 62 // bits
+    padded = np.zeros(n + step, np.int64)
+    padded[: n - 1] = dense + 1
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key = key << bits | padded[k : k + n]
+    order = np.argsort(key)
+    rank, open_ = np.empty(n, np.int64), np.arange(n)
+    key = key[order]
+    while True:
+        at = order[open_]
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[at] = open_[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+        open_ = open_[~(fresh & np.concatenate([fresh[1:], [True]]))]
+        if not len(open_):
+            return order
+        at = order[open_]
+        key = rank[at] * n + rank[at + step]
+        by = np.argsort(key)
+        order[open_], key = at[by], key[by]
+        step *= 2
+
+
+class LastColumn:
+    """The suffix order of a text and its last column: symbols (the first, empty, is the sentinel), bwt as their numbers, c."""
+
+    def __init__(self, text: str):
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        found, dense = np.unique(codes, return_inverse=True)
+        self.symbols = ["", *map(chr, found.tolist())]
+        self.order = suffix_order(codes)
+        self.bwt = np.concatenate([[0], dense + 1])[self.order]
+        self.n = np.bincount(self.bwt, minlength=len(self.symbols))
+        self.c = np.cumsum(self.n) - self.n
+
+    def lf(self) -> np.ndarray:
+        out = np.empty(len(self.bwt), np.int64)
+        out[np.argsort(self.bwt, kind="stable")] = np.arange(len(out))
+        return out
+
+    def text(self) -> str:
+        lf, bwt, row, out = self.lf().tolist(), self.bwt.tolist(), 0, []
+        while bwt[row]:
+            out.append(self.symbols[bwt[row]])
+            row = lf[row]
+        return "".join(reversed(out))
+
+    def count(self, pattern: str) -> int:
+        lo, hi = 0, len(self.bwt)
+        for ch in reversed(pattern):
+            if ch not in self.symbols:
+                return 0
+            s = self.symbols.index(ch)
+            lo, hi = (int(self.c[s]) + int(np.count_nonzero(self.bwt[:x] == s)) for x in (lo, hi))
+        return hi - lo if pattern else 0
+
+
+def _whole(texts: DataFrame, make: Callable[[LastColumn], list], schema: str, key: str, text: str) -> DataFrame:
+    """key and the columns of schema: make gives arrays of one length for a text."""
+    names = [key, *(x.split()[0] for x in schema.split(", "))]
+    kinds = [pa.int64(), *(pa.string() if x.endswith("string") else pa.int64() for x in schema.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], names)
+
+        for b in batches:
+            for i, t in zip(b.column(0), b.column(1), strict=True):
+                made = [pa.array(x, k) for x, k in zip(make(LastColumn(t.as_py())), kinds[1:], strict=True)]
+                parts.append([pa.repeat(i, len(made[0])), *made])
+                size += len(made[0])
+                if size >= BATCH:
+                    yield batch()
+                    parts, size = [], 0
+        if parts:
+            yield batch()
+
+    return texts.where(F.col(text).isNotNull()).select(F.col(key).cast("long"), text).mapInArrow(run, f"{key} long, {schema}")
+
+
+def whole_suffix_array(texts: DataFrame, step: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, row (0: the sentinel), pos (1-based characters) of every step-th row of the suffix order of each text."""
+
+    def make(x: LastColumn) -> list:
+        return [np.arange(0, len(x.order), step), x.order[::step] + 1]
+
+    return _whole(texts, make, "row long, pos long", key, text)
+
+
+def whole_bwt(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, bwt ($ for the sentinel), primary_row (the sentinel's)."""
+
+    def make(x: LastColumn) -> list:
+        return [["".join(map(["$", *x.symbols[1:]].__getitem__, x.bwt.tolist()))], [int(np.flatnonzero(x.bwt == 0)[0])]]
+
+    return _whole(texts, make, "bwt string, primary_row long", key, text)
+
+
+def whole_symbol_counts(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return _whole(texts, lambda x: [x.symbols, x.n, x.c], "symbol string, n long, c long", key, text)
+
+
+def whole_lf_mapping(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, row, rank, lf as in lf_mapping."""
+
+    def make(x: LastColumn) -> list:
+        lf = x.lf()
+        return [np.arange(len(lf)), lf - x.c[x.bwt], lf]
+
+    return _whole(texts, make, "row long, rank long, lf long", key, text)
+
+
+def whole_inverse_bwt(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, text: the walk along lf from the sentinel's row."""
+    return _whole(texts, lambda x: [[x.text()]], "text string", key, text)
+
+
+def whole_backward_search(texts: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, hits: overlapping occurrences of the pattern in each text, by backward search."""
+    return _whole(texts, lambda x: [[x.count(pattern)]], "hits long", key, text)
+
+
 # --- statistics -----------------------------------------------------------------------------------------------------------
 
 

@@ -522,6 +522,49 @@ def sa_sample(spark, sf_dir):
     return index.samples(_small(spark, sf_dir)).select("doc_id", "row", "pos")
 
 
+# The same over whole texts of all documents. The SQL above is bound to the small texts and sorts written-out suffixes, which whole
+# texts are too long for; tests hold these against brute force.
+
+
+def _texts(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", "text")
+
+
+@query()
+def suffix_array_whole(spark, sf_dir):
+    return index.whole_suffix_array(_texts(spark, sf_dir))
+
+
+@query()
+def bwt_whole(spark, sf_dir):
+    return index.whole_bwt(_texts(spark, sf_dir))
+
+
+@query()
+def c_table_whole(spark, sf_dir):
+    return index.whole_symbol_counts(_texts(spark, sf_dir))
+
+
+@query()
+def lf_mapping_whole(spark, sf_dir):
+    return index.whole_lf_mapping(_texts(spark, sf_dir))
+
+
+@query()
+def inverse_bwt_whole(spark, sf_dir):
+    return index.whole_inverse_bwt(_texts(spark, sf_dir))
+
+
+@query()
+def backward_search_count_whole(spark, sf_dir):
+    return index.whole_backward_search(_texts(spark, sf_dir), "er")
+
+
+@query()
+def sa_sample_whole(spark, sf_dir):
+    return index.whole_suffix_array(_texts(spark, sf_dir), index.SAMPLE)
+
+
 HISTOGRAM = "(select cast(('0x' || h) as bigint) as byte, count(*) as n from (select unnest(regexp_extract_all(hex(encode(text)), '..')) as h from documents) group by 1)"
 
 

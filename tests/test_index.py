@@ -67,3 +67,33 @@ def test_gram_index_finds_all(spark, sf):
     for p in ("tion", "er", "thanedble"):
         found = {r.doc_id for r in index.gram_candidates(index.gram_index(d), p).collect()}
         assert {r.doc_id for r in d.where(F.contains("text", F.lit(p))).collect()} <= found
+
+
+def test_whole_texts_of_all_documents(spark, tmp_path):
+    """Long texts and high ids against brute force: nothing is cut at 120 characters or at doc_id 60."""
+    from quillspark.plans import catalog
+
+    r = random.Random(7)
+    prose = " ".join(r.choice(["other", "er", "erer", "naïve", "こえ", "😀x", "Word"]) for _ in range(300))
+    texts = {1: "", 2: "a" * 700, 3: "ab" * 300 + "er", 59: "-" * 130 + "er", 60: "er", 75: prose, 4000: prose[::-1] + "\n" + prose, 4001: "mississippi", -5: None}
+    texts |= {100 + i: "".join(r.choice("ab") for _ in range(r.randint(1, 400))) for i in range(8)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for name in ("suffix_array", "bwt", "c_table", "lf_mapping", "inverse_bwt", "backward_search_count", "sa_sample"):
+        got[name] = {i: [] for i in texts}
+        for x in catalog.QUERIES[f"{name}_whole"](spark, str(tmp_path)).collect():
+            got[name][x.doc_id].append(tuple(x)[1:])
+    for i, t in texts.items():
+        if t is None:
+            assert not any(got[name][i] for name in got)
+            continue
+        order, last = naive_rows(t)
+        at = {p: row for row, p in enumerate(order)}
+        assert sorted(got["suffix_array"][i]) == [(row, p + 1) for row, p in enumerate(order)]
+        assert sorted(got["sa_sample"][i]) == [(row, p + 1) for row, p in enumerate(order)][::64]
+        assert got["bwt"][i] == [("".join(b or "$" for b in last), at[0])]
+        assert sorted(got["c_table"][i]) == [(s, last.count(s), sum(b < s for b in last)) for s in sorted(set(last))]
+        lf = [at[p - 1] if p else 0 for p in order]
+        assert sorted(got["lf_mapping"][i]) == [(row, last[:row].count(last[row]), lf[row]) for row in range(len(order))]
+        assert got["inverse_bwt"][i] == [(t,)]
+        assert got["backward_search_count"][i] == [(sum(t.startswith("er", k) for k in range(len(t))),)]
