@@ -15,6 +15,8 @@ from quillspark.llm.common import id_text, read, table
 
 #: A document is rejected if its language is unknown or its posterior is below this.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Documents are near-duplicates if their sets of word shingles have this similarity in percent, or a chain of such links.
+NEAR_PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.first_of_each(docs)
+    return minhash.first_of_each(docs, NEAR_PERCENT)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@
    shingle in a universe of 2^22 slots, a second permutation of that universe, shifted circularly by k, gives coordinate k of
    the signature. The K shifted values of a shingle lie side by side in the second permutation, so a signature is the running
    minimum of K-wide slices. 125 coordinates make 25 bands of 5: two sets of similarity 0.85 share no band with probability 4e-7.
+   A threshold of 0.8 takes 185 coordinates, 37 bands, for the same.
 2. Classes. Documents with equal sets (a 128-bit digest and the size agree) become one class by a partial aggregate, so thousands
    of copies are one row from here on.
 3. Candidates. Each band bucket with several classes links its members to its smallest class: a star, not all pairs.
@@ -19,6 +20,7 @@ of the component (null if there is none); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,8 @@ WORDS = 5
 UNIVERSE_BITS = 22
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
+#: A pair at the threshold shares no band with this probability at most.
+MISS = 5e-7
 #: An estimate below this, of a pair at the threshold 0.85, is five standard deviations off.
 LEAST_ESTIMATE = 0.69
 #: Members of one star per sorted group, and rows of a bucket per block.
@@ -47,6 +51,21 @@ def row_number() -> Column:
     return F.monotonically_increasing_id()
 
 
+def bands_for(percent: int) -> int:
+    """Bands of ROWS for a threshold; BANDS at 85 and above."""
+    if percent >= 85:
+        return BANDS
+    return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
+
+
+def least_estimate(percent: int) -> float:
+    """Five standard deviations below the threshold; LEAST_ESTIMATE at 85 and above."""
+    if percent >= 85:
+        return LEAST_ESTIMATE
+    p = percent / 100
+    return p - 5 * math.sqrt(p * (1 - p) / (bands_for(percent) * ROWS))
+
+
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.full(n + 1, base, np.uint64)
     out[0] = 1
@@ -103,7 +122,8 @@ class Circulant:
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
-    h = np.full(BANDS, 7, np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    n = len(signature) // ROWS
+    h = np.full(n, 7, np.uint64) + np.arange(n, dtype=np.uint64)
     for k in range(ROWS):
         h = mix(h * np.uint64(_BASE) + signature[k::ROWS].astype(np.uint64))
     return h.view(np.int64)
@@ -115,11 +135,11 @@ def digest(hashes: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def features(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def features(docs: DataFrame, text: str = "text", key: str = "doc_id", coordinates: int = COORDINATES) -> DataFrame:
     """uid (of the row, the same at each run over the same input), doc_id, n (set size), a, b (digest), sig (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Circulant()
+        maker = Circulant(coordinates)
         for b in batches:
             data, at = text_bytes(b.column("t"))
             n, da, db, sig = [], [], [], []
@@ -135,14 +155,14 @@ def features(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return docs.select(row_number().alias("uid"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "uid long, doc_id long, n long, a long, b long, sig binary")
 
 
-def _bands(classes: DataFrame) -> DataFrame:
+def _bands(classes: DataFrame, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sigs = b.column("sig").to_pylist()
             keys = [band_keys(np.frombuffer(s, np.int32)) for s in sigs]
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            c = np.repeat(b.column("c").to_numpy(), BANDS)
-            band = np.tile(np.arange(BANDS, dtype=np.int32), len(sigs))
+            c = np.repeat(b.column("c").to_numpy(), bands)
+            band = np.tile(np.arange(bands, dtype=np.int32), len(sigs))
             yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(band), pa.array(flat)], ["c", "band", "key"])
 
     return classes.select("c", "sig").mapInArrow(run, "c long, band int, key long")
@@ -229,6 +249,7 @@ def _rest(open_buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent:
     b = F.col("b")
     to_main = F.transform(all_blocks("lo"), lambda o: cell(0, b, o))
     to_others = F.concat(F.transform(all_blocks("lm"), lambda m: cell(0, m, b)), F.transform(all_blocks("lo"), lambda o: cell(1, F.least(b, o), F.greatest(b, o))))
+    bands, least = bands_for(percent), least_estimate(percent)
     meet = rows.withColumn("cell", F.explode(F.when(F.col("in_main"), to_main).otherwise(to_others)))
     meet = meet.select("band", "key", "cell.*", "b", "in_main", "c", "root").join(classes.select("c", "sig").join(sets, "c"), "c")
 
@@ -236,7 +257,7 @@ def _rest(open_buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent:
         kind, x, y, band = (t.column(k)[0].as_py() for k in ("kind", "x", "y", "band"))
         blk, c, root = (t.column(k).to_numpy() for k in ("b", "c", "root"))
         in_main = t.column("in_main").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int32).reshape(len(c), BANDS, ROWS)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int32).reshape(len(c), bands, ROWS)
         full = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         n = np.array([len(x) for x in full])
         left = np.flatnonzero(~in_main if kind == 0 else blk == x)
@@ -250,7 +271,7 @@ def _rest(open_buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent:
                 continue
             same = sig[ok] == sig[i]
             likely = same.mean((1, 2))
-            fit = (likely >= LEAST_ESTIMATE) & ~same[:, :band].all(2).any(1)
+            fit = (likely >= least) & ~same[:, :band].all(2).any(1)
             for j in ok[fit][np.argsort(-likely[fit], kind="stable")]:
                 if group[i] != group[j] and _linked(full[i], full[j], percent):
                     us.append(int(c[i]))
@@ -264,13 +285,13 @@ def _rest(open_buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent:
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
     """uid, doc_id, n_shingles, component_id, kept_row for each row; kept_row marks one row of each component.
 
-    Links have 100 * intersection >= percent * union of the full sets; percent may be 85 or more.
+    Links have 100 * intersection >= percent * union of the full sets; percent may be 80 or more.
     """
-    if percent < 85:
-        raise ValueError("bands are set for similarities of 0.85 and more")
-    rows = table(features(docs, text, key), "minhash")
+    if percent < 80:
+        raise ValueError("bands are set for similarities of 0.8 and more")
+    rows = table(features(docs, text, key, bands_for(percent) * ROWS), "minhash")
     classes = table(rows.where("n > 0").groupBy("n", "a", "b").agg(F.min("uid").alias("c"), F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
-    bands = _bands(classes)
+    bands = _bands(classes, bands_for(percent))
     centre = bands.groupBy("band", "key").agg(F.min("c").alias("u"), F.count("*").alias("m")).where("m > 1")
     buckets = table(bands.join(centre, ["band", "key"]).select("band", "key", "c", "u"), "buckets")
     stars = buckets.where("c != u").select("u", F.col("c").alias("v")).distinct()

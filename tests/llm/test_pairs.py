@@ -62,6 +62,37 @@ def test_minhash_against_brute_force(spark, block, monkeypatch):
     assert [got[i].component_id for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("block", [3, 2048])
+def test_minhash_at_80_against_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BUCKET_BLOCK", block)
+    texts = family(8)
+    sets = [shingle_set(t) for t in texts]
+    alike = lambda percent: roots(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])])
+    want = alike(80)
+    assert want != alike(85)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).sort("doc_id")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_minhash_bands_for_a_threshold():
+    assert (minhash.bands_for(85), minhash.least_estimate(85)) == (minhash.BANDS, minhash.LEAST_ESTIMATE)
+    assert (1 - 0.8**minhash.ROWS) ** minhash.bands_for(80) <= minhash.MISS
+    assert minhash.least_estimate(80) <= 0.8 - 5 * (0.8 * 0.2 / (minhash.bands_for(80) * minhash.ROWS)) ** 0.5
+
+
+def test_pipeline_drops_pairs_between_80_and_85(spark, tmp_path):
+    import corpus_pipeline
+
+    words = ["w%d" % i for i in range(104)]  # 100 shingles; ten of them are new in the second text: 90 of 110
+    other = ["v%d" % i if i < 10 else w for i, w in enumerate(words)]
+    a, b = shingle_set(" ".join(words)), shingle_set(" ".join(other))
+    assert 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b)
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "some other words stand here alone")], "doc_id long, text string").coalesce(1).write.parquet(path)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.read.parquet(path), "").collect()) == [1, 3]
+
+
 def test_minhash_rows_that_repeat_or_lack_ids(spark, tmp_path):
     t = " ".join("abcdefghijkl")
     rows = [(7, t), (7, t), (None, t), (3, t), (7, "other words than these are here"), (None, None), (9, "")]
