@@ -43,6 +43,22 @@ def test_chat_round_trip_and_mask(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_query_reads_the_mask(spark, sf, monkeypatch):
+    whole = chat.format_conversations
+    want = {r.conv_id: r.n for r in spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.sum(F.when(F.col("role") != "assistant", F.length("text")).otherwise(0)).alias("n")).collect()}
+    flipped = lambda t: F.struct(t["lead"].alias("lead"), t["text"].alias("text"), t["close"].alias("close"), (~t["loss"]).alias("loss"))
+    monkeypatch.setattr(chat, "format_conversations", lambda rows: whole(rows).withColumn("p", F.transform("p", flipped)))
+    got = {r.conv_id: r.loss_chars for r in chat.op6_chat_format(spark, sf).collect()}
+    assert {k: got[k] for k in want} == want
+
+
+def test_loss_texts_over_many_turns(spark):
+    rows = [(1, i, "assistant" if i % 3 else "user", f"é<|{i}\\😀") for i in range(700)] + [(2, 0, "assistant", None)]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r.x for r in made.select("conv_id", chat.loss_texts(F.col("formatted"), F.col("p")).alias("x")).collect()}
+    assert got == {1: [t for _, _, role, t in rows[:-1] if role == "assistant"], 2: [""]}
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = docs.columns
