@@ -37,11 +37,11 @@ EXACT = {
 }
 # What the generators propose.
 PROPOSED = {
-    "email_spelled": r"[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}){1,4}",
+    "email_spelled": r"[A-Za-z0-9._%+-]{1,64}+ ?[\[(][Aa][Tt][\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(][Dd][Oo][Tt][\])]) ?[A-Za-z0-9-]{1,63}){1,4}",
     "phone_national": r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[ .-]{1,2}[0-9]{2,4}[ .-][0-9]{3,4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ipv6": r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![A-Za-z0-9:])",
+    "ipv6": r"(?<![A-Za-z0-9:])(?:(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![A-Za-z0-9:])",
 }
 KINDS = [*EXACT, *PROPOSED]
 # Words before a span that speak for personal data, by group.
@@ -103,9 +103,9 @@ def _ok(kind: str, s: Column) -> Column:
 
 def _may(text: Column) -> dict[str, Column]:
     digit, at = F.col("_digit"), F.contains(text, F.lit("@"))
-    spelled = F.contains(text, F.lit("at]")) | F.contains(text, F.lit("at)"))
+    spelled = text.rlike(r"[Aa][Tt][\])]")
     plain = {"email": at, "ip": digit, "card": digit, "phone": digit & F.contains(text, F.lit("+"))}
-    return plain | {"email_spelled": spelled, "phone_national": digit, "ssn": digit & F.contains(text, F.lit("-")), "iban": digit, "ipv6": digit & F.contains(text, F.lit(":"))}
+    return plain | {"email_spelled": spelled, "phone_national": digit, "ssn": digit & F.contains(text, F.lit("-")), "iban": digit, "ipv6": (digit & F.contains(text, F.lit(":"))) | F.contains(text, F.lit("::"))}
 
 
 def _matches(df: DataFrame, patterns: dict[str, str], text: str) -> DataFrame:
@@ -165,6 +165,8 @@ def snippets(n: int = TRAIN_SNIPPETS, seed: int = 11) -> list[dict]:
     word = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 9)))
     said = lambda k: " ".join(word() for _ in range(r.randint(1, k)))
     national = lambda: r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(2)} {d(4)} {d(4)}"])
+    hexa = lambda: f"{r.randrange(65536):x}"
+    short = lambda: r.choice(["2001:db8::", "fe80::", "::", f"{hexa()}::", f"2001:db8:{hexa()}::", f"{hexa()}:{hexa()}:{hexa()}::"]) + ":".join(r.choice([hexa(), str(r.randint(1, 9))]) for _ in range(r.randint(1, 3)))
     yes = [
         ("phone_national", lambda: (r.choice(["call", "phone", "tel", "fax:", "mobile", "reach me at"]), national())),
         ("phone_national", lambda: (said(3), f"({d(3)}) {d(3)}-{d(4)}")),
@@ -172,7 +174,9 @@ def snippets(n: int = TRAIN_SNIPPETS, seed: int = 11) -> list[dict]:
         ("iban", lambda: (r.choice(["iban", "account", "bank account"]), f"{r.choice(['DE', 'FR', 'ES', 'GB'])}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}")),
         ("email_spelled", lambda: (r.choice(["mail", "contact", "write to", said(2)]), f"{word()}.{word()} [at] {word()} [dot] com")),
         ("email_spelled", lambda: (r.choice(["mail", said(2)]), f"{word()} (at) {word()}.org")),
+        ("email_spelled", lambda: (r.choice(["mail", "write to", said(2)]), f"{word()} {r.choice(['[AT]', '(AT)', '[At]'])} {word()} {r.choice(['[DOT]', '(DOT)', '[Dot]'])} {r.choice(['com', 'org', 'COM'])}")),
         ("ipv6", lambda: (r.choice(["server", "host", said(2)]), ":".join(f"{r.randrange(65536):x}" for _ in range(8)))),
+        ("ipv6", lambda: (r.choice(["server", "host", "address", said(2)]), short())),
     ]
     no = [
         lambda: (r.choice(["pages", "section", "score", "order", "invoice", "isbn", "version", "range"]), f"{d(3)}-{d(3)}-{d(4)}"),
@@ -182,6 +186,7 @@ def snippets(n: int = TRAIN_SNIPPETS, seed: int = 11) -> list[dict]:
         lambda: ("code " + d(4), f"{d(2)} {d(3)} {d(4)} {d(5)}"),
         lambda: (r.choice(["model", "ref", "item", said(2)]), f"{r.choice(['AB', 'XK', 'QT'])}{d(2)}{d(4)}{d(4)}"),
         lambda: ("at " + word(), f"{word()} (at) {r.randint(1, 9)} . {r.randint(10, 59)}"),
+        lambda: (r.choice(["class", "scope", "see", said(2)]), "::".join("".join(r.choice("abcdef") for _ in range(r.randint(1, 4))) for _ in range(2))),
         lambda: ("time", ":".join(d(2) for _ in range(5))),
     ]
     out = []

@@ -73,6 +73,15 @@ def test_proposals_and_clean_text(spark):
     assert got[4] == "" and got[5] == ""
 
 
+def test_compressed_ipv6_and_spelled_mail_in_any_case(spark):
+    model = pii.fit(spark)
+    assert all(t < float("inf") for t in model["thresholds"].values())
+    rows = ["host fe80::1 is up", "the server 2001:db8::1 answers", "lines 2001:db8:85a3::8a2e:370:7334, and more", "write to ann [AT] example [DOT] com please", "mail ann (At) example.org now", "the class add::feed of this code", "std::vector and a :: b", "meet (AT) 5 . 30 here"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.s for r in pii.find_spans(df, model).select("doc_id", pii.span_list("spans").alias("s")).collect()}
+    assert [got[i] for i in range(len(rows))] == ["ipv6:5:12", "ipv6:11:22", "ipv6:6:34", "email_spelled:9:35", "email_spelled:5:25", "", "", ""]
+
+
 def test_redaction_extra_columns_and_empty(spark):
     df = spark.createDataFrame([(1, "mail a@b.co or 10.0.0.1!", "keep"), (2, None, None), (2, None, None), (None, "x", "")], "doc_id long, text string, spans string")
     got = [tuple(r) for r in pii.redact(df.drop("spans")).collect()]
