@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +17,22 @@ from pyspark.sql import types as T
 CHUNK_BYTES = 1 << 20
 
 
+#: skew_join broadcasts the keys that hold more than this part of the rows each, so fewer than this many.
+HUBS = 1000
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor sees; where it is unset (tests), a new one."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir, which every executor sees. Only a local session (tests) may leave it unset."""
+    top, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/quillspark-{spark.sparkContext.applicationId}"
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if app not in _local:
+            _local[app] = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
+        top = _local[app]
+    return f"{top.rstrip('/')}/quillspark-{app}"
 
 
 _cleaned: set[str] = set()
@@ -50,6 +59,45 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], added: list[str], condition: str) -> DataFrame:
+    """The rows of docs for which condition holds on the columns that judge adds; docs' own columns of those names stay as they are."""
+    hidden: dict[str, str] = {}
+    for c in docs.columns:
+        if c.lower() in added:
+            hidden[c] = fresh_name(docs.withColumnsRenamed(hidden), "_" + c)
+    out = judge(docs.withColumnsRenamed(hidden)).where(condition)
+    return out.select([F.col(f"`{hidden.get(c, c)}`").alias(c) for c in docs.columns])
+
+
+def numbered(df: DataFrame, uid: str, name: str) -> DataFrame:
+    """df as a written table with a number for each row in column uid. The numbers are stored, so every later scan sees the same."""
+    return table(df.withColumn(uid, F.monotonically_increasing_id()), name)
+
+
+def skew_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """rows with the columns of keyed, which has a row for each key and, in `count`, how many of rows hold it; an inner join.
+
+    Keys of more than total / HUBS rows are fewer than HUBS: their rows of keyed are broadcast and the rows that hold them are
+    spread over all tasks. All other keys are joined by a shuffle on the key.
+    """
+    added = F.struct(*(c for c in keyed.columns if c not in on))
+    hub = F.col(count) > total / HUBS
+    large = keyed.where(hub).select(*on, added.alias("_large"))
+    small = keyed.where(~hub).select(F.col(on[0]).cast("long").alias("_at"), *on[1:], F.lit(False).alias("_hub"), added.alias("_small"))
+    out = rows.join(F.broadcast(large), on, "left").withColumn("_hub", F.col("_large").isNotNull())
+    out = out.withColumn("_at", F.when(F.col("_hub"), F.xxhash64(*rows.columns)).otherwise(F.col(on[0])))
+    out = out.join(small, ["_at", *on[1:], "_hub"], "left").withColumn("_found", F.coalesce("_large", "_small")).where("_found is not null")
+    return out.select(*rows.columns, "_found.*")
+
+
 def id_text(column: str = "doc_id") -> Column:
     return F.col(column).cast("string").cast("binary")
 

@@ -1,21 +1,25 @@
 """Near-duplicate documents: circulant MinHash, banding and exact Jaccard verification.
 
-1. Features. Each text's set of distinct 5-word shingles is hashed to 64 bits; one permutation (a mixing hash) places each
-   shingle in a universe of 2^22 slots, a second permutation of that universe, shifted circularly by k, gives coordinate k of
-   the signature. The K shifted values of a shingle lie side by side in the second permutation, so a signature is the running
+1. Features. Rows are numbered once, in a written table; all later joins are on that number. Each text's set of distinct 5-word
+   shingles is hashed to 64 bits; a first permutation (of the 64-bit numbers) scatters them and its low bits are the shingle's slot
+   in a universe of 2^22 (two shingles share one with probability 2^-22, which verification makes up for); a second permutation, of
+   the slots, shifted circularly by k, gives coordinate k of the signature. The K shifted values of a shingle lie side by side in the second permutation, so a signature is the running
    minimum of K-wide slices. 125 coordinates make 25 bands of 5: two sets of similarity 0.85 share no band with probability 4e-7.
    A threshold of 0.8 takes 185 coordinates, 37 bands, for the same.
 2. Classes. Documents with equal sets (a 128-bit digest and the size agree) become one class by a partial aggregate, so thousands
    of copies are one row from here on.
 3. Candidates. Each band bucket with several classes links its members to its smallest class: a star, not all pairs.
-4. Verification. Members meet their star's centre in a salted, sorted stream of whole texts; a task holds one centre's set and one
-   member's. Buckets that then still hold several components (their members are not all linked to the centre) are settled in
-   blocks: pairs of different components whose signatures could reach the threshold are verified on their full sets right there.
-5. Components over verified links.
+4. Verification. Members meet their star's centre in a sorted stream of whole texts, dealt to groups of about STAR_BLOCK members; a
+   task holds one centre's set and one member's. Buckets that then still hold several components (their members are not all linked
+   to the centre) are settled in blocks, bounded in rows and bytes: pairs of different components whose signatures could reach the
+   threshold are verified on their full sets right there.
+5. Components over verified links. Joins on keys that may hold a great part of the rows (large buckets, classes, components) spread
+   these: see skew_join.
 
 Defined cases: null and empty texts have no shingles, link with nothing and form components of their own; fewer than five words
 are one shingle; repeated rows fall in one class; rows with a null id take part, their component_id is the smallest non-null id
-of the component (null if there is none); an empty table gives an empty result. Extra columns are ignored.
+of the component (null if there is none); an empty table gives an empty result. Extra columns are ignored; `first_of_each` returns
+the columns that it was given, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, read, table, text_bytes
+from .common import chunks, fresh_name, mix, numbered, read, skew_join, table, text_bytes
 from .components import connected_components
 from .quality import word_spans
 
@@ -40,17 +44,12 @@ COORDINATES = BANDS * ROWS
 MISS = 5e-7
 #: An estimate below this, of a pair at the threshold 0.85, is five standard deviations off.
 LEAST_ESTIMATE = 0.69
-#: Members of one star per sorted group, and rows of a bucket per block.
-STAR_BLOCK, BUCKET_BLOCK = 256, 2048
+#: Members of one star per sorted group, rows of a bucket per block, and bytes of their sets per block.
+STAR_BLOCK, BUCKET_BLOCK, BLOCK_BYTES = 256, 2048, 8 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEED = 20240501
 
 
-def row_number() -> Column:
-    """A row's number: the same at each run over the same written table."""
-    return F.monotonically_increasing_id()
-
-
 def bands_for(percent: int) -> int:
     """Bands of ROWS for a threshold; BANDS at 85 and above."""
     if percent >= 85:
@@ -135,8 +134,8 @@ def digest(hashes: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def features(docs: DataFrame, text: str = "text", key: str = "doc_id", coordinates: int = COORDINATES) -> DataFrame:
-    """uid (of the row, the same at each run over the same input), doc_id, n (set size), a, b (digest), sig (binary)."""
+def features(stored: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
+    """Of stored (uid, doc_id, t): uid, doc_id, n (set size), a, b (digest), sig (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Circulant(coordinates)
@@ -152,7 +151,7 @@ def features(docs: DataFrame, text: str = "text", key: str = "doc_id", coordinat
                     sig.append(maker.signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(da, pa.int64()), pa.array(db, pa.int64()), pa.array(sig, pa.binary())], ["uid", "doc_id", "n", "a", "b", "sig"])
 
-    return docs.select(row_number().alias("uid"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "uid long, doc_id long, n long, a long, b long, sig binary")
+    return stored.select("uid", "doc_id", "t").mapInArrow(run, "uid long, doc_id long, n long, a long, b long, sig binary")
 
 
 def _bands(classes: DataFrame, bands: int) -> DataFrame:
@@ -161,11 +160,11 @@ def _bands(classes: DataFrame, bands: int) -> DataFrame:
             sigs = b.column("sig").to_pylist()
             keys = [band_keys(np.frombuffer(s, np.int32)) for s in sigs]
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            c = np.repeat(b.column("c").to_numpy(), bands)
+            c, n = (np.repeat(b.column(x).to_numpy(), bands) for x in ("c", "n"))
             band = np.tile(np.arange(bands, dtype=np.int32), len(sigs))
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(band), pa.array(flat)], ["c", "band", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n), pa.array(band), pa.array(flat)], ["c", "n", "band", "key"])
 
-    return classes.select("c", "sig").mapInArrow(run, "c long, band int, key long")
+    return classes.select("c", "n", "sig").mapInArrow(run, "c long, n long, band int, key long")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -173,75 +172,66 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
-    """Of pairs u < v of classes, those whose full shingle sets reach the threshold.
+def _verify(stars: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
+    """Of pairs u < v of classes (u, nu, v, nv, m), those whose full shingle sets reach the threshold.
 
-    A centre's rows are dealt to groups of about STAR_BLOCK members; in a group, sorted so that the centre's text comes first, a
+    m, the size of the largest bucket in which a pair was found, bounds how many pairs its centre has there, so it tells how many
+    groups a centre's pairs are dealt to without a count by centre. In a group, sorted so that the centre's text comes first, a
     task holds one set beside the current one. Size bounds drop pairs before any text moves.
     """
-    sized = classes.select("c", "doc_id", "n", "a", "b")
-    left = sized.select(F.col("c").alias("u"), F.col("n").alias("nu"))
-    right = sized.select(F.col("c").alias("v"), F.col("n").alias("nv"))
-    fit = pairs.join(left, "u").join(right, "v").where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)").select("u", "v")
-    degree = fit.groupBy("u").agg((F.count("*") / STAR_BLOCK).cast("int").alias("k"))
-    fit = fit.join(degree, "u").select("u", F.pmod(F.xxhash64("v"), F.col("k") + 1).alias("s"), "v")
-    need = fit.select("u", "s", F.lit(1).alias("role"), F.col("v").alias("c")).union(fit.select("u", "s").distinct().select("u", "s", F.lit(0).alias("role"), F.col("u").alias("c")))
-    texts = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t"))
-    wanted = need.join(sized.withColumnRenamed("doc_id", "d"), "c")
-    rows = wanted.join(texts, wanted.d.eqNullSafe(texts.d)).select("u", "s", "role", "c", "n", "a", "b", "t")
-    rows = rows.repartition("u", "s").sortWithinPartitions("u", "s", "role", "c")
+    fit = stars.where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)").groupBy("u", "v").agg((F.max("m") / STAR_BLOCK).cast("int").alias("k"))
+    fit = fit.withColumn("s", F.pmod(F.xxhash64("v"), F.col("k") + 1))
+    members = fit.select("u", "k", "s", F.lit(1).alias("role"), F.col("v").alias("c"))
+    need = members.union(fit.select("u", "k", "s").distinct().select("u", "k", "s", F.lit(0).alias("role"), F.col("u").alias("c")))
+    rows = need.join(stored.select(F.col("uid").alias("c"), "t"), "c").select("u", "k", "s", "role", "c", "t")
+    rows = rows.repartition("u", "k", "s").sortWithinPartitions("u", "k", "s", "role", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, centre = None, None
         for b in batches:
             data, at = text_bytes(b.column("t"))
-            u, s, role, c, n, da, db = (b.column(k).to_numpy() for k in ("u", "s", "role", "c", "n", "a", "b"))
+            u, k, s, role, c = (b.column(x).to_numpy() for x in ("u", "k", "s", "role", "c"))
             found: list[tuple[int, int]] = []
             for i, j in chunks(at):
                 for r, x in zip(range(i, j), shingles(data[at[i] : at[j]], at[i : j + 1] - at[i]), strict=True):
-                    if len(x) != n[r] or digest(x) != (da[r], db[r]):  # another row with the same id
-                        continue
-                    if group != (u[r], s[r]):
-                        group, centre = (u[r], s[r]), None
+                    if group != (u[r], k[r], s[r]):
+                        group, centre = (u[r], k[r], s[r]), None
                     if role[r] == 0:
                         centre = x
                     elif centre is not None and _linked(centre, x, percent):
                         found.append((int(u[r]), int(c[r])))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    return rows.mapInArrow(run, "u long, v long")
 
 
-def _sets(members: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
-    """c, shingles (64-bit hashes as binary) of the classes in members: c, doc_id, n, a, b."""
-    texts = docs.select(F.col(key).cast("long").alias("d"), F.col(text).alias("t"))
-    rows = members.join(texts, members.doc_id.eqNullSafe(texts.d)).select("c", "n", "a", "b", "t")
+def _sets(members: DataFrame, stored: DataFrame) -> DataFrame:
+    """c, sig, shingles (64-bit hashes as binary) of the classes in members: c, sig."""
+    rows = members.join(stored.select(F.col("uid").alias("c"), "t"), "c").select("c", "sig", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = text_bytes(batch.column("t"))
-            c, n, da, db = (batch.column(k).to_numpy() for k in ("c", "n", "a", "b"))
-            found = []
-            for i, j in chunks(at):
-                for r, x in zip(range(i, j), shingles(data[at[i] : at[j]], at[i : j + 1] - at[i]), strict=True):
-                    if len(x) == n[r] and digest(x) == (da[r], db[r]):  # not another row with the same id
-                        found.append((int(c[r]), x.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["c", "shingles"])
+        for b in batches:
+            data, at = text_bytes(b.column("t"))
+            found = [x.tobytes() for i, j in chunks(at) for x in shingles(data[at[i] : at[j]], at[i : j + 1] - at[i])]
+            yield pa.RecordBatch.from_arrays([b.column("c"), b.column("sig"), pa.array(found, pa.binary())], ["c", "sig", "shingles"])
 
-    return rows.mapInArrow(run, "c long, shingles binary").groupBy("c").agg(F.first("shingles").alias("shingles"))
+    return rows.mapInArrow(run, "c long, sig binary, shingles binary")
 
 
-def _rest(open_buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(open_buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links u, v between different components that share a bucket.
 
     A bucket's largest component is not compared with itself: its members, in blocks, meet the blocks of the other members, and
     these meet each other. A task holds two blocks with their full sets: pairs whose signatures could reach the threshold, in the
     first band that they share, are verified on the sets unless the links found so far join them already. Only links leave it.
     """
-    by = open_buckets.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-    main = by.groupBy("band", "key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("nm"), (F.sum("n") - F.max("n")).alias("no"))
-    last = lambda n: ((F.col(n) - 1) / BUCKET_BLOCK).cast("int")
-    rows = open_buckets.join(main, ["band", "key"]).select("band", "key", "c", "root", (F.col("root") == F.col("main")).alias("in_main"), last("nm").alias("lm"), last("no").alias("lo"))
+    by = open_buckets.groupBy("band", "key", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    most = F.max(F.struct("rows", "shingles", "root"))
+    main = by.groupBy("band", "key").agg(most.alias("main"), F.sum("rows").alias("m"), F.sum("shingles").alias("all"))
+    last = lambda rows, shingles: F.greatest((rows - 1) / BUCKET_BLOCK, shingles * 8 / BLOCK_BYTES).cast("int")
+    of_main = last(F.col("main.rows"), F.col("main.shingles"))
+    main = main.select("band", "key", "m", F.col("main.root").alias("main"), of_main.alias("lm"), last(F.col("m") - F.col("main.rows"), F.col("all") - F.col("main.shingles")).alias("lo"))
+    rows = skew_join(open_buckets, main, ["key", "band"], "m", open_buckets.count()).withColumn("in_main", F.col("root") == F.col("main"))
     own = F.pmod(F.xxhash64("c", F.lit(3)), F.when(F.col("in_main"), F.col("lm")).otherwise(F.col("lo")) + 1).cast("int")
     rows = rows.withColumn("b", own)
     all_blocks = lambda n: F.sequence(F.lit(0), F.col(n))
@@ -251,7 +241,7 @@ def _rest(open_buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent:
     to_others = F.concat(F.transform(all_blocks("lm"), lambda m: cell(0, m, b)), F.transform(all_blocks("lo"), lambda o: cell(1, F.least(b, o), F.greatest(b, o))))
     bands, least = bands_for(percent), least_estimate(percent)
     meet = rows.withColumn("cell", F.explode(F.when(F.col("in_main"), to_main).otherwise(to_others)))
-    meet = meet.select("band", "key", "cell.*", "b", "in_main", "c", "root").join(classes.select("c", "sig").join(sets, "c"), "c")
+    meet = meet.select("band", "key", "cell.*", "b", "in_main", "c", "root").join(sets, "c")
 
     def run(t: pa.Table) -> pa.Table:
         kind, x, y, band = (t.column(k)[0].as_py() for k in ("kind", "x", "y", "band"))
@@ -282,40 +272,48 @@ def _rest(open_buckets: DataFrame, classes: DataFrame, sets: DataFrame, percent:
     return meet.groupBy("band", "key", "kind", "x", "y").applyInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key: str = "doc_id", uid: str | None = None) -> DataFrame:
     """uid, doc_id, n_shingles, component_id, kept_row for each row; kept_row marks one row of each component.
 
-    Links have 100 * intersection >= percent * union of the full sets; percent may be 80 or more.
+    Links have 100 * intersection >= percent * union of the full sets; percent may be 80 or more. uid names the column of a written
+    table that numbers its rows; without it, rows are numbered and stored here.
     """
     if percent < 80:
         raise ValueError("bands are set for similarities of 0.8 and more")
-    rows = table(features(docs, text, key, bands_for(percent) * ROWS), "minhash")
-    classes = table(rows.where("n > 0").groupBy("n", "a", "b").agg(F.min("uid").alias("c"), F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
+    stored = docs.select((F.col(f"`{uid}`") if uid else F.lit(0)).alias("uid"), F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("t"))
+    stored = stored if uid else numbered(stored.drop("uid"), "uid", "texts").select("uid", "doc_id", "t")
+    rows = table(features(stored, bands_for(percent) * ROWS), "minhash")
+    classes = table(rows.where("n > 0").groupBy("n", "a", "b").agg(F.min("uid").alias("c"), F.count("*").alias("m"), F.first("sig").alias("sig")), "classes")
     bands = _bands(classes, bands_for(percent))
-    centre = bands.groupBy("band", "key").agg(F.min("c").alias("u"), F.count("*").alias("m")).where("m > 1")
-    buckets = table(bands.join(centre, ["band", "key"]).select("band", "key", "c", "u"), "buckets")
-    stars = buckets.where("c != u").select("u", F.col("c").alias("v")).distinct()
-    links = table(_verify(stars, classes, docs, text, key, percent), "links")
+    centre = bands.groupBy("band", "key").agg(F.min(F.struct("c", "n")).alias("u"), F.count("*").alias("m")).where("m > 1")
+    buckets = skew_join(bands, centre, ["key", "band"], "m", classes.count() * bands_for(percent))
+    buckets = table(buckets.select("band", "key", "c", "n", F.col("u.c").alias("u"), F.col("u.n").alias("nu"), "m"), "buckets")
+    links = table(_verify(buckets.where("c != u").select("u", "nu", F.col("c").alias("v"), F.col("n").alias("nv"), "m"), stored, percent), "links")
     roots = connected_components(links)
-    placed = buckets.join(roots.select(F.col("v").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo != hi and m > 2")
-    open_buckets = table(placed.join(mixed.select("band", "key"), ["band", "key"]).select("band", "key", "c", "root"), "open")
+    placed = buckets.join(roots.select(F.col("v").alias("c"), "root"), "c", "left").select("band", "key", "c", "n", F.coalesce("root", "c").alias("root"))
+    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo != hi and m > 2").select("band", "key", "m")
+    open_buckets = table(skew_join(placed, mixed, ["key", "band"], "m", buckets.count()).select("band", "key", "c", "n", "root"), "open")
     if open_buckets.head(1):
-        members = open_buckets.select("c").distinct().join(classes.select("c", "doc_id", "n", "a", "b"), "c")
-        more = table(_rest(open_buckets, classes, table(_sets(members, docs, text, key), "sets"), percent), "links")
+        members = open_buckets.select("c").distinct().join(classes.select("c", "sig"), "c")
+        more = table(_rest(open_buckets, table(_sets(members, stored), "sets"), percent), "links")
         if more.head(1):
             roots = connected_components(roots.select(F.col("v").alias("u"), F.col("root").alias("v")).union(more))
-    member = classes.select("n", "a", "b", "c").join(roots.select(F.col("v").alias("c"), "root"), "c", "left").select("n", "a", "b", F.coalesce("root", "c").alias("root"))
-    seen = rows.select("uid", "doc_id", "n", "a", "b").join(member, ["n", "a", "b"], "left").select("uid", "doc_id", "n", F.coalesce("root", "uid").alias("root"))
+    member = classes.select("n", "a", "b", "m", "c").join(roots.select(F.col("v").alias("c"), "root"), "c", "left").select("n", "a", "b", "m", F.coalesce("root", "c").alias("root"))
+    total = rows.count()
+    seen = skew_join(rows.where("n > 0").select("uid", "doc_id", "n", "a", "b"), member, ["a", "b", "n"], "m", total).select("uid", "doc_id", "n", "root")
     seen = table(seen, "rooted")
-    best = seen.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "uid")).alias("first"))
-    return seen.join(best, "root").select("uid", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("uid") == F.col("first.uid")).alias("kept_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "uid"))
+    best = seen.groupBy("root").agg(F.min("doc_id").alias("component_id"), first.alias("first"), F.count("*").alias("m"))
+    out = skew_join(seen, best, ["root"], "m", total).select("uid", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("uid") == F.col("first.uid")).alias("kept_row"))
+    return out.union(rows.where("n = 0").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept_row")))
 
 
 def first_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of docs, a written table, that are the first of their group."""
-    kept = near_duplicates(docs, percent).where("kept_row").select(F.col("uid").alias("_uid"))
-    return docs.withColumn("_uid", row_number()).join(kept, "_uid", "left_semi").drop("_uid")
+    """The rows of docs, with its columns, that are the first of their group."""
+    uid = fresh_name(docs, "_uid")
+    stored = numbered(docs, uid, "numbered")
+    kept = near_duplicates(stored, percent, uid=uid).where("kept_row").select(F.col("uid").alias(uid))
+    return stored.join(kept, uid, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:
