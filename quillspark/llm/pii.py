@@ -9,11 +9,13 @@ features of documents, and become one Spark expression. Everything is a projecti
 
 Positions are code points. A text's matches come from `regexp_extract_all`, the stretches between them from `split` with the same
 pattern; running sums of both give the places. The patterns are possessive where that changes no match, so long runs neither
-overflow the stack nor take quadratic time.
+overflow the stack nor take quadratic time. Overlaps are found by one sweep over sorted spans: spans of a kind do not overlap, so a
+span can only meet the last one of each kind. Contexts and unredacted stretches are cut from pieces of the text, not from its start.
+All of it takes time in proportion to text and spans, but for sorting.
 
 Defined cases: null and empty texts have no spans; a null id is kept; repeated rows give repeated results; an empty table gives an
 empty result; equal starts are ordered by kind, then end; of overlapping proposals with equal scores the earlier, then longer, one
-stays. Extra columns pass through `find_spans` and `redact`; columns of the names they add are replaced.
+stays. Extra columns pass through `find_spans` and `redact`; `find_spans` replaces columns of the names it adds, `redact` keeps all.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, without
+from quillspark.functions.text import let
+
+from .common import read
 
 # The exact kinds, in the order that ties follow.
 EXACT = {
@@ -37,7 +41,7 @@ EXACT = {
 }
 # What the generators propose.
 PROPOSED = {
-    "email_spelled": r"[A-Za-z0-9._%+-]{1,64}+ ?[\[(][Aa][Tt][\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(][Dd][Oo][Tt][\])]) ?[A-Za-z0-9-]{1,63}){1,4}",
+    "email_spelled": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?[\[(][Aa][Tt][\])] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[(][Dd][Oo][Tt][\])] ?)[A-Za-z0-9-]++)++",
     "phone_national": r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[ .-]{1,2}[0-9]{2,4}[ .-][0-9]{3,4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -55,7 +59,8 @@ CONTEXT = {
 FEATURES = ["kind", "digits", "letters", "length", "separators", "groups", "paren", "before_word", "after_word", "spaced", *CONTEXT, "near_digits"]
 TRAIN_SNIPPETS = 3000
 PRECISION = 0.97
-_CHUNK = 256
+#: Spans in one step of a sum or sweep, and characters of a piece of text.
+_CHUNK, _PIECE = 256, 1024
 _SPAN = "struct<start:int,end:int,kind:int,hit:string>"
 
 
@@ -86,6 +91,44 @@ def _located(gaps: Column, hits: Column, kind: int) -> Column:
     return F.when(F.size(hits) > 0, whole).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}+"), F.lit(0))
+
+
+def _cut(pieces: Column, start: Column, size: Column) -> Column:
+    """size characters from start (counted from 0), from the pieces that hold them."""
+    first = (start / _PIECE).cast("int")
+    at = start - first * _PIECE
+    return F.substring(F.array_join(F.slice(pieces, first + 1, ((at + size) / _PIECE).cast("int") + 1), ""), at + 1, size)
+
+
+def _undominated(spans: str, ahead) -> Column:
+    """Of spans (start, kind, end, score, ...), sorted by start, those that overlap no span that is ahead of them.
+
+    One pass that keeps the last span of each kind: earlier ones of that kind have ended. It collects the places of spans that lose.
+    """
+    numbered = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["score"].alias("score"), i.alias("at")))
+    nothing = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("kind"), F.lit(-1).alias("end"), F.lit(0.0).alias("score"), F.lit(-1).alias("at"))
+
+    def step(a: Column, s: Column) -> Column:
+        met = F.filter(a["last"], lambda x: x["end"] > s["start"])
+        lost = F.transform(met, lambda x: F.when(ahead(x, s), s["at"]).when(ahead(s, x), x["at"]).otherwise(F.lit(-1)))
+        last = F.transform(a["last"], lambda x, k: F.when(k == s["kind"], s).otherwise(x))
+        return F.struct(last.alias("last"), F.concat(a["out"], lost).alias("out"))
+
+    def sweep(all_spans: Column) -> Column:
+        def chunk(a: Column, at: Column) -> Column:
+            start = F.struct(a["last"].alias("last"), F.array().cast("array<int>").alias("out"))
+            done = F.aggregate(F.slice(all_spans, at, F.lit(_CHUNK)), start, step)
+            return let(done, lambda d: F.struct(d["last"].alias("last"), F.concat(a["out"], F.array(d["out"])).alias("out")))
+
+        start = F.struct(F.array_repeat(nothing, len(KINDS)).alias("last"), F.array().cast("array<array<int>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(all_spans), F.lit(_CHUNK)), start, chunk, lambda a: F.flatten(a["out"]))
+
+    stay = F.array_except(F.sequence(F.lit(0), F.size(spans) - 1), let(numbered, sweep))
+    return F.when(F.size(spans) > 1, F.transform(stay, lambda i: F.get(F.col(spans), i))).otherwise(F.col(spans))
+
+
 def _valid(kind: str, hit: Column) -> Column:
     digits = F.regexp_replace(hit, "[^0-9]", "")
     if kind == "ip":
@@ -101,27 +144,26 @@ def _ok(kind: str, s: Column) -> Column:
     return _valid(kind, s["hit"])
 
 
-def _may(text: Column) -> dict[str, Column]:
-    digit, at = F.col("_digit"), F.contains(text, F.lit("@"))
-    spelled = text.rlike(r"[Aa][Tt][\])]")
-    plain = {"email": at, "ip": digit, "card": digit, "phone": digit & F.contains(text, F.lit("+"))}
-    return plain | {"email_spelled": spelled, "phone_national": digit, "ssn": digit & F.contains(text, F.lit("-")), "iban": digit, "ipv6": (digit & F.contains(text, F.lit(":"))) | F.contains(text, F.lit("::"))}
+def _may() -> dict[str, Column]:
+    text, digit = F.col("_t"), F.col("_digit")
+    has = lambda x: F.contains(text, F.lit(x))
+    plain = {"email": has("@"), "ip": digit, "card": digit, "phone": digit & has("+")}
+    return plain | {"email_spelled": text.rlike(r"[Aa][Tt][\])]"), "phone_national": digit, "ssn": digit & has("-"), "iban": digit, "ipv6": (digit & has(":")) | has("::")}
 
 
-def _matches(df: DataFrame, patterns: dict[str, str], text: str) -> DataFrame:
+def _matches(df: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """df with an array of located matches `_s_<kind>` for each pattern."""
-    t = F.col(text)
-    may = _may(t)
-    df = df.withColumns({f"_{x}_{k}": c for k, p in patterns.items() for x, c in zip("gh", _places(t, p, 0, may[k]), strict=True)})
+    may = _may()
+    df = df.withColumns({f"_{x}_{k}": c for k, p in patterns.items() for x, c in zip("gh", _places(F.col("_t"), p, 0, may[k]), strict=True)})
     df = df.withColumns({f"_s_{k}": _located(F.col(f"_g_{k}"), F.col(f"_h_{k}"), KINDS.index(k)) for k in patterns})
     return df.drop(*(f"_{x}_{k}" for k in patterns for x in "gh"))
 
 
-def _features(span: Column, text: Column) -> Column:
+def _features(span: Column) -> Column:
     hit, flag = span["hit"], lambda c: F.coalesce(c, F.lit(False)).cast("double")
     count = lambda pattern: F.length(F.regexp_replace(hit, pattern, "")).cast("double")
-    before = F.substring(text, F.greatest(F.lit(1), span["start"] - 39), F.least(F.lit(40), span["start"]))
-    after = F.substring(text, span["end"] + 1, F.lit(20))
+    before = F.get(span["around"], F.lit(0))
+    after = F.get(span["around"], F.lit(1))
     values = [
         span["kind"].cast("double"),
         count("[^0-9]"),
@@ -139,20 +181,28 @@ def _features(span: Column, text: Column) -> Column:
     return F.struct(*(v.alias(n) for v, n in zip(values, FEATURES, strict=True)))
 
 
-def _proposals(df: DataFrame, text: str) -> DataFrame:
-    """df with `_p`: proposals that overlap no exact span, each with its features. Needs _digit and _exact."""
-    df = _matches(df, PROPOSED, text)
+def _proposals(df: DataFrame) -> DataFrame:
+    """df with `_p`: proposals that overlap no exact span, each with its features. Needs _t, _digit and _exact."""
+    df = _matches(df, PROPOSED)
+    span = lambda s, score, hit: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(score).alias("score"), hit.alias("hit"))
     found = F.flatten(F.array(*(F.col(f"_s_{k}") for k in PROPOSED)))
-    free = F.filter(found, lambda s: ~F.exists("_exact", lambda e: (e["start"] < s["end"]) & (s["start"] < e["end"])))
-    df = df.withColumn("_p", free).drop(*(f"_s_{k}" for k in PROPOSED))
-    return df.withColumn("_p", F.transform("_p", lambda s: F.struct(s.alias("s"), _features(s, F.col(text)).alias("f"))))
-
-
-def _exact(df: DataFrame, text: str) -> DataFrame:
-    df = df.withColumn("_digit", F.col(text).rlike("[0-9]"))
-    df = _matches(df, EXACT, text)
+    df = df.withColumn("_found", found).drop(*(f"_s_{k}" for k in PROPOSED))
+    both = F.sort_array(F.concat(F.transform("_exact", lambda s: span(s, 1.0, F.lit(""))), F.transform("_found", lambda s: span(s, 0.0, s["hit"]))))
+    df = df.withColumn("_both", F.when(F.size("_found") > 0, both).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,score:double,hit:string>>"))).drop("_found")
+    df = df.withColumn("_free", F.filter(_undominated("_both", lambda x, y: x["score"] > y["score"]), lambda s: s["score"] == 0.0)).drop("_both")
+    df = df.withColumn("_pieces", F.when(F.size("_free") > 0, _pieces(F.col("_t"))).otherwise(F.array().cast("array<string>")))
+    lead = lambda s: F.least(F.lit(40), s["start"])
+    around = lambda s: F.array(_cut(F.col("_pieces"), s["start"] - lead(s), lead(s)), _cut(F.col("_pieces"), s["end"], F.lit(20)))
+    df = df.withColumn("_near", F.transform("_free", lambda s: F.struct(*(s[x].alias(x) for x in ("start", "kind", "end", "hit")), around(s).alias("around")))).drop("_free", "_pieces")
+    return df.withColumn("_p", F.transform("_near", lambda s: F.struct(s.alias("s"), _features(s).alias("f")))).drop("_near")
+
+
+def _exact(df: DataFrame) -> DataFrame:
+    """df, which has _t, with _digit and _exact: the spans of the exact kinds, by start and kind."""
+    df = _matches(df.withColumn("_digit", F.col("_t").rlike("[0-9]")), EXACT)
     kept = [F.filter(f"_s_{k}", partial(_ok, k)) for k in EXACT]
-    return df.withColumn("_exact", F.array_sort(F.transform(F.flatten(F.array(*kept)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))).drop(*(f"_s_{k}" for k in EXACT))
+    spans = F.transform(F.flatten(F.array(*kept)), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return df.withColumn("_exact", F.sort_array(spans)).drop(*(f"_s_{k}" for k in EXACT))
 
 
 # --- training -------------------------------------------------------------------------------------------------------------
@@ -253,8 +303,8 @@ def fit(spark: SparkSession) -> dict:
     if app in _models:
         return _models[app]
     kind = "array<struct<t:string,k:string>>"
-    rows = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(snippets())), kind)).alias("x")).select("x.t", "x.k")
-    found = _proposals(_exact(rows, "t"), "t").select("k", F.explode("_p").alias("p")).select("k", F.array(*(F.col(f"p.f.{n}") for n in FEATURES)).alias("x")).collect()
+    rows = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(snippets())), kind)).alias("x")).select(F.col("x.t").alias("_t"), F.col("x.k").alias("k"))
+    found = _proposals(_exact(rows)).select("k", F.explode("_p").alias("p")).select("k", F.array(*(F.col(f"p.f.{n}") for n in FEATURES)).alias("x")).collect()
     x, y = np.array([r.x for r in found], float), np.array([r.k == KINDS[int(r.x[0])] for r in found], float)
     fold = np.arange(len(y)) % 3 == 0
     trees = boost(x[~fold], y[~fold])
@@ -272,21 +322,26 @@ def fit(spark: SparkSession) -> dict:
 # --- application ----------------------------------------------------------------------------------------------------------
 
 
-def find_spans(docs: DataFrame, model: dict | None = None, text: str = "text") -> DataFrame:
-    """docs with `base_spans` and `spans`: arrays of (start, kind number, end), sorted; spans adds the selected proposals."""
+def _spanned(docs: DataFrame, model: dict | None, text: str) -> DataFrame:
+    """_row (all columns of docs), _t (the text, never null), base_spans, spans."""
     model = model or fit(docs.sparkSession)
-    df = without(docs, ["base_spans", "spans", "_t", "_digit", "_exact", "_p"])
-    df = df.withColumn("_t", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    df = _proposals(_exact(df, "_t"), "_t")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    df = _proposals(_exact(docs.select(row, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))))
     score = lambda f: sum((tree_column(t, f) for t in model["trees"][1:]), F.lit(model["trees"][0]))
     limits = F.array(*(F.lit(model["thresholds"].get(k, float("inf"))) for k in KINDS))
-    df = df.withColumn("_p", F.transform("_p", lambda p: F.struct(p["s"]["start"].alias("start"), p["s"]["kind"].alias("kind"), p["s"]["end"].alias("end"), score(p["f"]).alias("score"))))
-    df = df.withColumn("_p", F.filter("_p", lambda p: p["score"] >= F.get(limits, p["kind"])))
-    before = lambda q, p: (q["score"] > p["score"]) | ((q["score"] == p["score"]) & ((q["start"] < p["start"]) | ((q["start"] == p["start"]) & ((q["end"] > p["end"]) | ((q["end"] == p["end"]) & (q["kind"] < p["kind"]))))))
-    best = F.filter("_p", lambda p: ~F.exists("_p", lambda q: (q["start"] < p["end"]) & (p["start"] < q["end"]) & before(q, p)))
-    more = F.transform(best, lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end")))
-    df = df.withColumn("base_spans", F.col("_exact")).withColumn("spans", F.array_sort(F.concat("_exact", more)))
-    return df.drop("_t", "_digit", "_exact", "_p")
+    scored = F.transform("_p", lambda p: F.struct(p["s"]["start"].alias("start"), p["s"]["kind"].alias("kind"), p["s"]["end"].alias("end"), score(p["f"]).alias("score")))
+    df = df.withColumn("_scored", scored).drop("_p")
+    df = df.withColumn("_fit", F.sort_array(F.filter("_scored", lambda p: p["score"] >= F.get(limits, p["kind"])))).drop("_scored")
+    order = lambda x: F.struct(-x["score"], x["start"], -x["end"], x["kind"])
+    df = df.withColumn("_best", _undominated("_fit", lambda x, y: order(x) < order(y)))
+    more = F.transform("_best", lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end")))
+    return df.select("_row", "_t", F.col("_exact").alias("base_spans"), F.sort_array(F.concat("_exact", more)).alias("spans"))
+
+
+def find_spans(docs: DataFrame, model: dict | None = None, text: str = "text") -> DataFrame:
+    """docs with `base_spans` and `spans`: arrays of (start, kind number, end), sorted; spans adds the selected proposals."""
+    keep = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in ("base_spans", "spans")]
+    return _spanned(docs, model, text).select(*keep, "base_spans", "spans")
 
 
 def span_list(spans: str) -> Column:
@@ -296,19 +351,21 @@ def span_list(spans: str) -> Column:
 
 def redact(docs: DataFrame, model: dict | None = None, text: str = "text") -> DataFrame:
     """docs with each stretch of overlapping spans in `text` replaced by its first kind in brackets, e.g. [EMAIL]."""
-    columns = docs.columns
-    df = find_spans(docs, model, text)
-    t = F.col(f"`{text}`")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    df = _spanned(docs, model, text).withColumn("_pieces", F.when(F.size("spans") > 0, _pieces(F.col("_t"))))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    pieces, start = F.col("_pieces"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        fresh = F.concat(a["out"], F.array(F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"])))
+        fresh = F.concat(a["out"], F.array(_cut(pieces, a["at"], s["start"] - a["at"]), F.get(names, s["kind"])))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
 
-    clean = F.aggregate("spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.length(t))))
-    df = df.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(t))
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+    def chunk(a: Column, i: Column) -> Column:
+        done = F.aggregate(F.slice("spans", i, F.lit(_CHUNK)), F.struct(a["at"].alias("at"), F.array().cast("array<string>").alias("out")), step)
+        return let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(a["out"], F.array(F.array_join(d["out"], ""))).alias("out")))
+
+    whole = F.aggregate(F.sequence(F.lit(1), F.size("spans"), F.lit(_CHUNK)), start, chunk, lambda a: F.concat(F.array_join(a["out"], ""), _cut(pieces, a["at"], F.length("_t"))))
+    df = df.withColumn("_clean", F.when(F.size("spans") > 0, whole).otherwise(F.col("_row")[text]))
+    return df.select([(F.col("_clean") if c == text else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
