@@ -1,12 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Two distributed passes. Training counts hashed byte n-grams (orders 2 to 4 of the lower-cased UTF-8 text) per language over a
-bounded, hash-chosen sample of labelled rows; the matrix of log-probabilities (BUCKETS x languages, fixed size) is broadcast.
-Scoring gathers the rows of that matrix for all n-grams of a batch with numpy and sums them by document.
-
-Defined cases: text null or without any letter gives `und` with score 0; a null id is kept; repeated rows give repeated results;
-an empty table gives an empty result; ties between languages go to the alphabetically first; no learned language at all gives
-`und` for every row. Extra columns are ignored.
+Two distributed passes. Training counts hashed character n-grams (orders 2 to 4 of the lower-cased code points) per language over a
+bounded, hash-chosen sample of labelled rows; the matrix of log-probabilities (BUCKETS x languages, at most LANGUAGES) is broadcast.
+Scoring makes a sparse count matrix of each batch, a row for a document with its distinct buckets, multiplies it by that matrix in
+numpy and adds the log priors. The score is the posterior of the model: the likelihood of all n-grams, normalised over languages.
+
+Defined cases: text null or without any letter gives `und` with score 0; texts of a single character have no n-grams and follow the
+priors; a null id is kept; repeated rows give repeated results; an empty table gives an empty result; ties between languages go to
+the alphabetically first; no learned language at all gives `und` for every row; more than LANGUAGES labels raise an error. Extra
+columns pass through `predict`; columns of the names that it adds are replaced.
 """
 
 from __future__ import annotations
@@ -19,52 +21,82 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, id_text, read, text_bytes, with_fields
+from .common import chunks, id_text, read, segment_sums, text_bytes, with_fields
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
-#: Bound on labelled rows per language that training reads.
-TRAIN_ROWS_PER_LANGUAGE = 4000
+#: Bounds on labelled rows per language that training reads (about), and on languages: the matrix has 256 KB for each.
+TRAIN_ROWS_PER_LANGUAGE, LANGUAGES = 4000, 512
 UNKNOWN = "und"
 
 
-def ngram_buckets(data: np.ndarray, order: int) -> np.ndarray:
-    """Bucket of the n-gram that starts at each byte; the last order - 1 bytes start none."""
-    h = np.zeros(max(0, len(data) - order + 1), np.uint32)
+def ngram_buckets(points: np.ndarray, order: int) -> np.ndarray:
+    """Bucket of the n-gram that starts at each code point; the last order - 1 start none."""
+    h = np.zeros(max(0, len(points) - order + 1), np.uint32)
     for k in range(order):
-        h = (h * np.uint32(0x01000193)) ^ data[k : k + len(h)].astype(np.uint32)
+        h = (h * np.uint32(0x01000193)) ^ points[k : k + len(h)]
     h = (h ^ np.uint32(order)) * np.uint32(0x9E3779B1)
-    return h >> np.uint32(16)
+    return (h >> np.uint32(16)).astype(np.uint16)
 
 
 def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text_bytes(pc.utf8_lower(column.cast(pa.large_string())))
 
 
+def code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes and offsets as code points and offsets."""
+    begun = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=begun[1:])
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), begun[at]
+
+
+def document_ngrams(points: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """The buckets of each document's n-grams of all orders; n-grams do not cross documents."""
+    by_order = [ngram_buckets(points, order) for order in ORDERS]
+    for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield np.concatenate([h[a : max(a, e - order + 1)] for h, order in zip(by_order, ORDERS, strict=True)])
+
+
+def sparse_counts(documents: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row ends, buckets and counts of a sparse matrix with a row for each document."""
+    ends, buckets, counts, size = [0], [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)], 0
+    for h in documents:
+        h = np.sort(h, kind="stable")  # a radix sort for 16 bits
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+        buckets.append(h[first])
+        counts.append(np.diff(np.append(first, len(h))))
+        size += len(first)
+        ends.append(size)
+    return np.array(ends), np.concatenate(buckets), np.concatenate(counts)
+
+
+def log_likelihoods(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The product of the documents' sparse counts and the matrix of log-probabilities."""
+    ends, buckets, counts = sparse_counts(document_ngrams(*code_points(data, at)))
+    return segment_sums(table[buckets] * counts[:, None].astype(np.float64), ends)
+
+
 def counts_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """n-gram counts over all documents of a group; n-grams do not cross documents."""
+    """n-gram counts over all documents of a group."""
     total = np.zeros(BUCKETS, np.int64)
     for i, j in chunks(at):
-        part = data[at[i] : at[j]]
-        for order in ORDERS:
-            h = ngram_buckets(part, order)
-            ok = np.ones(len(h), bool)
-            for end in at[i + 1 : j + 1] - at[i]:
-                ok[max(0, end - order + 1) : end] = False
-            total += np.bincount(h[ok], minlength=BUCKETS)
+        for h in document_ngrams(*code_points(data[at[i] : at[j]], at[i : j + 1] - at[i])):
+            total += np.bincount(h, minlength=BUCKETS) if len(h) > BUCKETS // 8 else 0
+            if len(h) <= BUCKETS // 8:
+                np.add.at(total, h, 1)
     return total
 
 
 def fit(docs: DataFrame, per_language: int = TRAIN_ROWS_PER_LANGUAGE, text: str = "text", label: str = "lang", key: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages in order and the BUCKETS x languages matrix of log-probabilities, its last row the log priors."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l")).where("l is not null and t is not null")
-    seen = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy("l").collect()  # a row for each language
+    seen = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy("l").limit(LANGUAGES + 1).collect()
+    if len(seen) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: their matrix would be too large to broadcast")
     if not seen:
         return [], np.zeros((BUCKETS + 1, 0), np.float32)
-    share = F.lit(0.0)
-    for r in seen:
-        share = F.when(F.col("l") == r.l, F.lit(min(1.0, per_language / r.n))).otherwise(share)
-    chance = F.pmod(F.xxhash64("k", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    shares = docs.sparkSession.createDataFrame([(r.l, min(1.0, per_language / r.n)) for r in seen], "l string, share double")
+    chance = F.pmod(F.xxhash64("k", "t", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -75,9 +107,9 @@ def fit(docs: DataFrame, per_language: int = TRAIN_ROWS_PER_LANGUAGE, text: str
                 found[name] = found.get(name, 0) + counts_of(*lowered(part))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v.tobytes() for v in found.values()], pa.binary())], ["l", "c"])
 
-    sample = rows.where(chance < share).repartition(4)
+    sample = rows.join(F.broadcast(shares), "l").where(chance < F.col("share")).select("l", "t").repartition(max(4, len(seen) // 4))
     sums: dict[str, np.ndarray] = {}
-    for r in sample.mapInArrow(count, "l string, c binary").collect():  # four rows for each language
+    for r in sample.mapInArrow(count, "l string, c binary").toLocalIterator():  # for each task, a row for each language that it met
         sums[r.l] = sums.get(r.l, 0) + np.frombuffer(r.c, np.int64)
     names = sorted(sums)
     if not names:
@@ -89,7 +121,7 @@ def fit(docs: DataFrame, per_language: int = TRAIN_ROWS_PER_LANGUAGE, text: str
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """docs with lang_pred and score: the posterior of the predicted language, each byte's evidence counted once."""
+    """docs with lang_pred and score, the posterior of the predicted language."""
     spark, (names, matrix) = docs.sparkSession, model
     keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     held = spark.sparkContext.broadcast(matrix)
@@ -106,13 +138,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                 data, at = lowered(column)
                 score = np.tile(prior, (n, 1))
                 for i, j in chunks(at, (4 << 20) // max(4, k)):
-                    part, ends = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                    for order in ORDERS:
-                        w = table[ngram_buckets(part, order)]
-                        stop = np.maximum(ends[1:] - order + 1, ends[:-1])
-                        total = np.zeros((len(w) + 1, k))
-                        np.cumsum(w, axis=0, out=total[1:], dtype=np.float64)
-                        score[i:j] += (total[np.minimum(stop, len(w))] - total[np.minimum(ends[:-1], len(w))]) / len(ORDERS)
+                    score[i:j] += log_likelihoods(data[at[i] : at[j]], at[i : j + 1] - at[i], table)
                 best = score.argmax(1)
                 p = 1 / np.exp(score - score.max(1, keepdims=True)).sum(1)
                 letters = pc.fill_null(pc.match_substring_regex(column, r"\pL"), False).to_numpy(zero_copy_only=False)
