@@ -173,14 +173,14 @@ def _sample(rows: DataFrame, bound: int, seed: int) -> np.ndarray:
     n = rows.count()
     if not n:
         return np.zeros((0, N_FEATURES), np.float32)
-    chance = F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.xxhash64("k", "t", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = featurise(b.column("t"))
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([r.tobytes() for r in x], pa.binary())], ["k", "x"])
 
-    found = rows.where(chance < min(1.0, 0.95 * bound / n)).select("k", "t").mapInArrow(run, "k long, x binary").orderBy("k").collect()
+    found = rows.where(chance < min(1.0, 0.95 * bound / n)).select("k", "t").mapInArrow(run, "k long, x binary").orderBy("k", "x").limit(bound).collect()
     return np.frombuffer(b"".join(r.x for r in found), np.float32).reshape(-1, N_FEATURES)
 
 
