@@ -1,7 +1,7 @@
 """Chat formatting by relational means: sorted turn structs, array functions and concatenation, nothing else.
 
-A conversation's rows are collected as structs and sorted by turn. Adjacent turns of one role share a block; the block keeps its
-turns apart. The template is
+A conversation's rows are collected as structs and sorted by turn. An array aggregation merges adjacent turns of one role into a
+block; the block keeps its turns apart. The template is
 
     <|start|>ROLE<|message|>TEXT[<|next|>TEXT ...]<|end|>
 
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import let
+
 from .common import read
 
 START, MESSAGE, NEXT, END = "<|start|>", "<|message|>", "<|next|>", "<|end|>"
@@ -40,35 +42,47 @@ def _split(c: Column, mark: str) -> Column:
     return F.split(c, mark.replace("|", r"\|"), -1)
 
 
+_PIECE = "struct<lead:string,text:string,loss:boolean>"
+
+
+def _merged(turns: Column) -> Column:
+    """Pieces (lead, text, loss) of sorted, escaped turns. A turn of the role before it joins its block; another one opens a block,
+    and its lead closes the block before. The aggregation runs within chunks of turns, then over the chunks."""
+
+    def step(a: Column, t: Column) -> Column:
+        opened = F.concat(F.when(a["role"].isNull(), F.lit("")).otherwise(F.lit(END)), F.lit(START), t["role"], F.lit(MESSAGE))
+        lead = F.when(a["role"].eqNullSafe(t["role"]), F.lit(NEXT)).otherwise(opened)
+        piece = F.struct(lead.alias("lead"), t["text"].alias("text"), (t["role"] == LOSS_ROLE).alias("loss"))
+        return F.struct(t["role"].alias("role"), F.concat(a["out"], F.array(piece)).alias("out"))
+
+    def chunk(a: Column, i: Column) -> Column:
+        done = F.aggregate(F.slice(turns, i, F.lit(_CHUNK)), F.struct(a["role"].alias("role"), F.array().cast(f"array<{_PIECE}>").alias("out")), step)
+        return let(done, lambda d: F.struct(d["role"].alias("role"), F.concat(a["out"], F.array(d["out"])).alias("out")))
+
+    start = F.struct(F.lit(None).cast("string").alias("role"), F.array().cast(f"array<array<{_PIECE}>>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(turns), F.lit(_CHUNK)), start, chunk, lambda a: F.flatten(a["out"]))
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """conv_id, formatted, and p: the pieces lead, text, close that formatted consists of, with loss, the mask of their texts."""
+    """conv_id, formatted, and p: the pieces lead, text of formatted (the last is followed by END), with loss, the mask of their texts."""
     turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("x"))
     turns = turns.select("conv_id", F.transform("x", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"))).alias("x"))
-
-    def piece(t: Column, i: Column) -> Column:
-        before = F.get(F.col("x"), i - 1)["role"]
-        after = F.get(F.col("x"), i + 1)["role"]
-        lead = F.when((i > 0) & (before == t["role"]), F.lit(NEXT)).otherwise(F.concat(F.lit(START), t["role"], F.lit(MESSAGE)))
-        close = F.when(F.coalesce(after == t["role"], F.lit(False)), F.lit("")).otherwise(F.lit(END))
-        return F.struct(lead.alias("lead"), t["text"].alias("text"), close.alias("close"), (t["role"] == LOSS_ROLE).alias("loss"))
-
-    made = turns.select("conv_id", F.transform("x", piece).alias("p"))
-    formatted = F.array_join(F.transform("p", lambda t: F.concat(t["lead"], t["text"], t["close"])), "")
+    made = turns.select("conv_id", _merged(F.col("x")).alias("p"))
+    formatted = F.concat(F.array_join(F.transform("p", lambda t: F.concat(t["lead"], t["text"])), ""), F.lit(END))
     return made.select("conv_id", formatted.alias("formatted"), "p")
 
 
 def loss_spans(made: DataFrame) -> DataFrame:
     """conv_id, n, start, end: the masked stretches of format_conversations' strings, a row for each."""
-    size = "length(t.lead) + length(t.text) + length(t.close)"
     flat = made.select("conv_id", F.posexplode("p").alias("n", "t"))
-    ends = flat.selectExpr("conv_id", "n", "t.loss", "length(t.close) c", "length(t.text) l", f"sum({size}) over (partition by conv_id order by n) e")
-    return ends.where("loss").selectExpr("conv_id", "n", "e - c - l start", "e - c end")
+    ends = flat.selectExpr("conv_id", "n", "t.loss", "length(t.text) l", "sum(length(t.lead) + length(t.text)) over (partition by conv_id order by n) e")
+    return ends.where("loss").selectExpr("conv_id", "n", "e - l start", "e end")
 
 
 def loss_texts(formatted: Column, p: Column) -> Column:
     """The stretches of formatted that the mask marks, unescaped. formatted is cut into chunks of pieces, then these into pieces."""
-    size = lambda t: F.length(t["lead"]) + F.length(t["text"]) + F.length(t["close"])
+    size = lambda t: F.length(t["lead"]) + F.length(t["text"])
     chunks = F.transform(F.sequence(F.lit(1), F.size(p), F.lit(_CHUNK)), lambda i: F.slice(p, i, F.lit(_CHUNK)))
     ends = F.transform(chunks, lambda c: F.struct(F.aggregate(c, F.lit(0), lambda a, t: a + size(t)).alias("n"), c.alias("c")))
     parts = F.aggregate(
