@@ -86,7 +86,7 @@ def test_pages_held_out():
     right = total = 0
     for _ in range(100):
         page, y = html_text.labelled_page(r)
-        found = html_text.blocks(page)
+        found = field.blocks(page)
         z = field.decode([field.emission(*b) for b in found])
         right += sum(a == b for a, b in zip(z, y, strict=True))
         total += len(y)
