@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-A model file is compiled to three parts that are composed with each input: the normaliser (dummy prefix, blanks to U+2581), the
-piece lattice (an arc for each piece and place) with byte-fallback arcs for characters without a piece, and a weighting of
-adjacent arcs. The output is the path of least weight in the tropical semiring.
+A model file is compiled to three parts that are composed with each input: the normaliser (the file's character map, white-space
+rules, dummy prefix, blanks to U+2581), the piece lattice (an arc for each piece and place) with byte-fallback arcs for characters
+without a piece, and a weighting of adjacent arcs. The output is the path of least weight in the tropical semiring. Files with
+user-defined or unused pieces, or with blanks as suffixes or unescaped, raise an error: their rules are not compiled.
 
 For a unigram model an arc weighs its negative score. A byte-pair model has no additive scores: its merges are ranked. There the
 weights are 0 and infinity, on pairs of adjacent arcs: a pair weighs 0 if the two pieces' own string merges to exactly these two.
@@ -13,8 +14,9 @@ unique, each place keeps a single state, and the transducer gives the merge resu
 No piece has U+2581 after another character, so paths fall apart at blanks and results of such units are kept in a bounded memory.
 
 Defined cases: null and empty texts give no ids and decode to the empty text; a null id is kept; repeated rows give repeated
-results; an empty table gives an empty result. Decoding undoes encoding but for U+2581 in a text, which reads back as a blank.
-Extra columns are ignored.
+results; an empty table gives an empty result. Decoding undoes encoding but for U+2581 in a text, which reads back as a blank, and for
+what the file's character map changes. A text without blanks is one unit: its time is in proportion to its length. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from .common import read
 BLANK = "▁"
 #: Units and pairs that a worker remembers before it starts afresh; units of the last such stretch stay at hand.
 MEMORY = 350_000
+#: Characters of a unit that is remembered.
+LONG = 256
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -80,6 +84,55 @@ def trie(ids: dict[str, int]) -> dict:
     return root
 
 
+class Normaliser:
+    """The normaliser of a model file: its character map, as the longest rule at each place, and its rules for white space."""
+
+    def __init__(self, spec: dict):
+        chars = spec.get(2, b"")
+        self.prefix, self.squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
+        if not spec.get(5, 1):
+            raise ValueError("models that keep blanks as they are, are not compiled")
+        self.rules = self.read(chars) if chars else {}
+        self.longest = max(map(len, self.rules), default=0)
+        self.first = {k[0] for k in self.rules}
+        self.identity = not self.rules and not self.squeeze
+
+    @staticmethod
+    def read(chars: bytes) -> dict[str, str]:
+        """The rules of a character map: a walk over all paths of its double array, whose leaves point to NUL-ended strings."""
+        size = struct.unpack_from("<I", chars)[0]
+        unit, strings = np.frombuffer(chars, "<u4", size // 4, 4).tolist(), chars[4 + size :]
+        offset = lambda x: (x >> 10) << ((x & 512) >> 6)
+        out, todo = {}, [(b"", offset(unit[0]))]
+        while todo:
+            key, base = todo.pop()
+            for c in range(1, 256):
+                x = unit[base ^ c] if base ^ c < len(unit) else 0
+                if x & (1 << 31 | 255) != c:
+                    continue
+                after = base ^ c ^ offset(x)
+                if x >> 8 & 1:
+                    value = unit[after] & ((1 << 31) - 1)
+                    out[(key + bytes([c])).decode()] = strings[value : strings.index(b"\0", value)].decode()
+                todo.append((key + bytes([c]), after))
+        return out
+
+    def mapped(self, text: str) -> Iterator[str]:
+        rules, i, n = self.rules, 0, len(text)
+        while i < n:
+            if text[i] not in self.first:
+                yield text[i]
+                i += 1
+                continue
+            e = next((e for e in range(min(n, i + self.longest), i, -1) if text[i:e] in rules), 0)
+            yield rules[text[i:e]] if e else text[i]
+            i = e or i + 1
+
+    def __call__(self, text: str) -> str:
+        out = "".join(self.mapped(text)) if self.rules and not self.first.isdisjoint(text) else text
+        return " ".join(filter(None, out.split(" "))).rstrip(" " + BLANK) if self.squeeze else out
+
+
 class Transducer(dict):
     """Maps a unit (less its first U+2581) to the bytes of its ids, little-endian 32-bit; units are composed when first asked for."""
 
@@ -89,17 +142,24 @@ class Transducer(dict):
         super().__init__()
         self.before: dict[str, bytes] = {}
         self.piece: list[tuple[str, float, int]] = []
-        self.unigram, self.prefix = True, True
+        self.unigram, spec = True, {}
         with open(path, "rb") as f:
             for number, value in _message(f.read()):
                 if number == 1:
                     d = dict(_message(value))
                     self.piece.append((d[1].decode(), struct.unpack("<f", d[2])[0] if 2 in d else 0.0, d.get(3, 1)))
                 elif number == 2:
-                    self.unigram = dict(_message(value)).get(3, 1) == 1
+                    trained = dict(_message(value))
+                    self.unigram = trained.get(3, 1) == 1
+                    if trained.get(3, 1) not in (1, 2) or trained.get(24, 0):
+                        raise ValueError("only unigram and byte-pair models with blanks before words are compiled")
                 elif number == 3:
-                    self.prefix = bool(dict(_message(value)).get(3, 1))
-        self.id = {p: i for i, (p, _, kind) in enumerate(self.piece) if kind in (self.NORMAL, 4)}
+                    spec = dict(_message(value))
+        if any(kind in (4, 5) for _, _, kind in self.piece):
+            raise ValueError("models with user-defined or unused pieces are not compiled")
+        self.normal = Normaliser(spec)
+        self.prefix = self.normal.prefix
+        self.id = {p: i for i, (p, _, kind) in enumerate(self.piece) if kind == self.NORMAL}
         self.score = [s for _, s, _ in self.piece]
         self.byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.piece) if kind == self.BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(self.piece) if kind == self.UNKNOWN), 0)
@@ -107,7 +167,7 @@ class Transducer(dict):
         self.rank = {p: self.score[i] for p, i in self.id.items()}
         self.trie = trie(self.id)
         self.pair: dict[int, bool] = {}
-        self.shown = [bytes([int(p[3:5], 16)]) if kind == self.BYTE else p.encode() if kind in (self.NORMAL, 4) else b"" for p, _, kind in self.piece]
+        self.shown = [bytes([int(p[3:5], 16)]) if kind == self.BYTE else p.encode() if kind == self.NORMAL else b"" for p, _, kind in self.piece]
         self.shown[self.unknown] = " ⁇ ".encode()
 
     def weight(self, a: int, b: int) -> bool:
@@ -156,8 +216,8 @@ class Transducer(dict):
                 if w < cost[b + 1]:
                     cost[b + 1], back[b + 1], last[b + 1] = w, b, -2
             node, e = self.trie, b
-            for c in s[b:]:
-                node = node.get(c)
+            while e < n:
+                node = node.get(s[e])
                 if node is None:
                     break
                 e += 1
@@ -193,11 +253,15 @@ class Transducer(dict):
         if made is not None:
             self[unit] = made
             return made
-        made = self[unit] = array("i", self.compose(BLANK + unit)).tobytes()
+        made = array("i", self.compose(BLANK + unit)).tobytes()
+        if len(unit) <= LONG:
+            self[unit] = made
         return made
 
     def encode(self, text: str) -> bytes:
         """The bytes of a text's ids."""
+        if not self.normal.identity:
+            text = self.normal(text)
         if not text:
             return b""
         s = (" " if self.prefix else "") + text

@@ -103,3 +103,47 @@ def test_packing_rows(spark, sf):
         items.sort()
         assert [o for o, _ in items] == [sum(n for _, n in items[:i]) for i in range(len(items))] and sum(n for _, n in items) <= 2048
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def spliced(tmp_path, spec):
+    """The model file with another normaliser."""
+    with open(fst.model_path(), "rb") as f:
+        whole, out, i = f.read(), b"", 0
+    varint = lambda n: bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+    while i < len(whole):
+        key, at = fst._varint(whole, i)
+        n, at = fst._varint(whole, at)
+        out += whole[i : at + n] if key >> 3 != 3 else varint(key) + varint(len(spec)) + spec
+        i = at + n
+    path = tmp_path / "m.model"
+    path.write_bytes(out)
+    return str(path)
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nmt_nfkc_cf", "identity"])
+def test_normalisers_give_the_library_ids(tmp_path, rule):
+    path = spliced(tmp_path, sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec())
+    t, library = fst.Transducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    more = ["  Ａｂ  ﬁ ½ ① ", "ＡＢＣ\t x​\n\ny", "é 가 ㌀ ǅ", "   ", "A  B", "　a　", "İß ſ"]
+    for x in odd_texts(4) + more:
+        assert np.frombuffer(t.encode(x), "<i4").tolist() == library.encode(x), x
+
+
+def test_other_models_are_refused(tmp_path):
+    t = tmp_path / "x.model"
+    t.write_bytes(b"\x0a\x05\x0a\x01a\x18\x04")  # a user-defined piece
+    with pytest.raises(ValueError, match="user-defined"):
+        fst.Transducer(str(t))
+
+
+def test_long_texts_without_blanks_take_linear_time():
+    import time
+
+    t = fst.Transducer(fst.model_path())
+    library = sentencepiece.SentencePieceProcessor(model_file=fst.model_path())
+    r = random.Random(4)
+    short = "".join(r.choice("abcdefgh日本") for _ in range(20_000))
+    assert np.frombuffer(t.encode(short), "<i4").tolist() == library.encode(short)
+    start = time.time()
+    t.encode("".join(r.choice("abcdefgh日本") for _ in range(1_000_000)))
+    assert time.time() - start < 30
