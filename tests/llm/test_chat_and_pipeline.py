@@ -46,7 +46,7 @@ def test_chat_round_trip_and_mask(spark):
 def test_chat_query_reads_the_mask(spark, sf, monkeypatch):
     whole = chat.format_conversations
     want = {r.conv_id: r.n for r in spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.sum(F.when(F.col("role") != "assistant", F.length("text")).otherwise(0)).alias("n")).collect()}
-    flipped = lambda t: F.struct(t["lead"].alias("lead"), t["text"].alias("text"), t["close"].alias("close"), (~t["loss"]).alias("loss"))
+    flipped = lambda t: F.struct(t["lead"].alias("lead"), t["text"].alias("text"), (~t["loss"]).alias("loss"))
     monkeypatch.setattr(chat, "format_conversations", lambda rows: whole(rows).withColumn("p", F.transform("p", flipped)))
     got = {r.conv_id: r.loss_chars for r in chat.op6_chat_format(spark, sf).collect()}
     assert {k: got[k] for k in want} == want
@@ -57,6 +57,10 @@ def test_loss_texts_over_many_turns(spark):
     made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     got = {r.conv_id: r.x for r in made.select("conv_id", chat.loss_texts(F.col("formatted"), F.col("p")).alias("x")).collect()}
     assert got == {1: [t for _, _, role, t in rows[:-1] if role == "assistant"], 2: [""]}
+    said = {r.conv_id: [(t.role, t.text) for t in r.t] for r in made.select("conv_id", chat.parse(F.col("formatted")).alias("t")).collect()}
+    assert said == {1: [(role, t) for _, _, role, t in rows[:-1]], 2: [("assistant", "")]}
+    blocks = sum(a[2] != b[2] for a, b in zip(rows[:-2], rows[1:-1], strict=True)) + 1
+    assert {r.conv_id: r.formatted.count(chat.START) for r in made.collect()} == {1: blocks, 2: 1}
 
 
 def test_pipeline_stages(spark, sf):
@@ -95,3 +99,61 @@ def test_every_operator_is_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
     assert set(queries.QUERIES) <= set(names) and "pipeline" in names
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+CLASHING = ["score", "lang_pred", "predicted", "_uid", "spans", "base_spans", "_t", "_row", "_score", "uid", "component_id", "t"]
+
+
+def clashing(spark, sf):
+    """Documents with extra columns of names that operators use, repeated rows, nulls and a very long text."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    odd = spark.createDataFrame([(None, None, None, None, None), (7001, "", "en", "x", 0), (7002, "word " * 300_000, "en", "x", None)], docs.schema)
+    docs = docs.union(odd).union(docs.where("doc_id < 5"))
+    return table(docs.withColumns({c: F.concat(F.lit(c + " "), F.col("doc_id")) for c in CLASHING}), "clashing")
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, sf):
+    docs = clashing(spark, sf)
+    whole = collections.Counter(docs.select("doc_id", *CLASHING).collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.schema.names == docs.columns, name
+        found = collections.Counter(out.select("doc_id", *CLASHING).collect())
+        assert not found - whole, name
+        if name == "near_duplicates":
+            assert max(found.values()) == 1  # one of the repeated rows
+        if name == "personal_data":
+            assert found == whole
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert packed.groupBy("doc_id").agg(F.count_if(F.col("piece") == 0).alias("n")).where("doc_id < 5 and n != 2").count() == 0
+
+
+def test_pipeline_stages_on_an_empty_table(spark, sf):
+    docs = clashing(spark, sf).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).count() == 0, name
+
+
+def test_near_duplicates_stage_does_not_depend_on_how_scans_are_split(spark, tmp_path):
+    words = lambda i: " ".join(f"w{(i * 7 + k) % 997}" for k in range(12))
+    rows = [(i, words(i % 700)) for i in range(2000)]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(path)
+    docs, key = spark.read.parquet(path), "spark.sql.leafNodeDefaultParallelism"
+    kept = []
+    numbered = minhash.near_duplicates
+
+    def elsewhere(*a, **b):
+        out = numbered(*a, **b)
+        spark.conf.set(key, "16")  # the cluster grows between the scans
+        return out
+
+    try:
+        for slots in ("4", "16"):
+            spark.conf.set(key, slots)
+            minhash.near_duplicates = elsewhere
+            kept.append(sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()))
+    finally:
+        minhash.near_duplicates = numbered
+        spark.conf.unset(key)
+    assert kept[0] == kept[1] == list(range(700))
