@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of docs.
 A stage's docs are a written table. Rows with null columns, empty texts, repeated rows and empty tables follow the rules stated by
-each operator; texts without a letter have no language and are rejected by the first stage.
+each operator; texts without a letter have no language and are rejected by the first stage. Extra columns come out as they went in,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import langid, minhash, packing, pii, quality
-from quillspark.llm.common import id_text, read, table
+from quillspark.llm.common import id_text, judged, read, table
 
 #: A document is rejected if its language is unknown or its posterior is below this.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -20,13 +21,14 @@ NEAR_PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.predict(docs, langid.fit(docs))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    model = langid.fit(docs)
+    known = f"lang_pred != '{langid.UNKNOWN}' and score >= {LEAST_LANGUAGE_SCORE}"
+    return judged(docs, lambda d: langid.predict(d, model), ["lang_pred", "score"], known)
 
 
 def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, read(spark, sf_dir, "labels").where(F.crc32(id_text()) % 5 != 0))
-    return quality.predict(docs, model).where("predicted = 1").select(*docs.columns)
+    return judged(docs, lambda d: quality.predict(d, model), ["score", "predicted"], "predicted = 1")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.redact(docs)
-    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    kind = docs.schema["n_chars"].dataType
+    return pii.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast(kind), "n_chars"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
