@@ -185,6 +185,37 @@ def test_neighbours(spark, blocks, monkeypatch):
     assert hit / (5 * len(got)) >= 0.9
 
 
+def test_divided_lists_reach_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 30)
+    monkeypatch.setattr(ann, "LISTS", 8)
+    r = np.random.default_rng(8)
+    x = (r.standard_normal((12, 16))[r.integers(0, 12, 3000)] + 0.5 * r.standard_normal((3000, 16))).astype(np.float32)
+    df = frame(spark, x)
+    model = ann.fit(df.selectExpr("vec_id", "embedding v"), 16, 10)
+    cells = len(model["cells"].lists) * len(model["cells"].inner)
+    assert len(model["cells"].inner) > 5 and model["probes"] < cells / 2 and model["recall"] >= 0.95
+    got = collections.defaultdict(set)
+    for row in ann.nearest(df, F.col("vec_id") % 20 == 0, k=10).collect():
+        got[row.query_id].add(row.vec_id)
+    y = x.astype(float)
+    near = ann.true_nearest(y, np.arange(0, 3000, 20), 10)
+    assert np.mean([len(got[q] & set(n)) / 10 for q, n in zip(range(0, 3000, 20), near.tolist(), strict=True)]) >= 0.93
+
+
+def test_seeds_give_a_lower_bound():
+    r = np.random.default_rng(2)
+    q, x = r.standard_normal((9, 8)), r.standard_normal((100, 8))
+    top, score, bound = ann.seeded(q, x, 5)
+    assert (bound <= np.sort(q @ x.T, 1)[:, -6]).all() and (bound >= np.sort(q @ x.T, 1)[:, -7]).all() and top.shape == score.shape == (9, 6)
+    assert (ann.seeded(q, x[:5], 5)[2] == -np.inf).all() and ann.seeded(q, x[:0], 5)[0].shape == (9, 0)
+
+
+def test_neighbours_without_ids(spark):
+    rows = [(None, [1.0, 2.0], 0), (0, [1.0, 0.0], 0), (1, [2.0, 0.0], 0), (None, [9.0, 9.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
+    assert [(r.query_id, r.vec_id) for r in ann.nearest(df, F.col("vec_id") == 0).collect()] == [(0, 1)]
+
+
 def test_neighbours_of_few_rows(spark):
     df = frame(spark, vectors()[:3])
     rows = ann.nearest(df.union(df), F.col("vec_id") == 0, k=20).collect()
