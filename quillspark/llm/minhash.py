@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     classes = table(rows.where("n > 0").groupBy("n", "a", "b").agg(F.min("uid").alias("c"), F.count("*").alias("m"), F.first("sig").alias("sig")), "classes")
     bands = _bands(classes, bands_for(percent))
     centre = bands.groupBy("band", "key").agg(F.min(F.struct("c", "n")).alias("u"), F.count("*").alias("m")).where("m > 1")
-    buckets = skew_join(bands, centre, ["key", "band"], "m", classes.count() * bands_for(percent))
+    buckets = bands.join(centre, ["key", "band"])  # few rows have a partner; a large bucket's sorted partition is split at runtime
     buckets = table(buckets.select("band", "key", "c", "n", F.col("u.c").alias("u"), F.col("u.n").alias("nu"), "m"), "buckets")
     links = table(_verify(buckets.where("c != u").select("u", "nu", F.col("c").alias("v"), F.col("n").alias("nv"), "m"), stored, percent), "links")
     roots = connected_components(links)
