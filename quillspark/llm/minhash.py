@@ -11,8 +11,8 @@
 3. Candidates. Each band bucket with several classes links its members to its smallest class: a star, not all pairs.
 4. Verification. Members meet their star's centre in a sorted stream of whole texts, dealt to groups of about STAR_BLOCK members; a
    task holds one centre's set and one member's. Buckets that then still hold several components (their members are not all linked
-   to the centre) are settled in blocks, bounded in rows and bytes: pairs of different components whose signatures could reach the
-   threshold are verified on their full sets right there.
+   to the centre) are settled in blocks, bounded in rows and bytes: a first round sends signatures and keeps the rows that could
+   reach the threshold with a row of another component; a second sends the full sets of these and verifies their pairs right there.
 5. Components over verified links. Joins on keys that may hold a great part of the rows (large buckets, classes, components) spread
    these: see skew_join.
 
@@ -46,6 +46,7 @@ MISS = 5e-7
 LEAST_ESTIMATE = 0.69
 #: Members of one star per sorted group, rows of a bucket per block, and bytes of their sets per block.
 STAR_BLOCK, BUCKET_BLOCK, BLOCK_BYTES = 256, 2048, 8 << 20
+BAND_BITS = 6
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEED = 20240501
 
@@ -121,11 +122,13 @@ class Circulant:
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
+    """A key for each band, with the band's number in its low BAND_BITS bits."""
     n = len(signature) // ROWS
     h = np.full(n, 7, np.uint64) + np.arange(n, dtype=np.uint64)
     for k in range(ROWS):
         h = mix(h * np.uint64(_BASE) + signature[k::ROWS].astype(np.uint64))
-    return h.view(np.int64)
+    low = np.uint64((1 << BAND_BITS) - 1)
+    return ((h & ~low) | np.arange(n, dtype=np.uint64)).view(np.int64)
 
 
 def digest(hashes: np.ndarray) -> tuple[int, int]:
@@ -161,10 +164,9 @@ def _bands(classes: DataFrame, bands: int) -> DataFrame:
             keys = [band_keys(np.frombuffer(s, np.int32)) for s in sigs]
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             c, n = (np.repeat(b.column(x).to_numpy(), bands) for x in ("c", "n"))
-            band = np.tile(np.arange(bands, dtype=np.int32), len(sigs))
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n), pa.array(band), pa.array(flat)], ["c", "n", "band", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n), pa.array(flat)], ["c", "n", "key"])
 
-    return classes.select("c", "n", "sig").mapInArrow(run, "c long, n long, band int, key long")
+    return classes.select("c", "n", "sig").mapInArrow(run, "c long, n long, key long")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -218,58 +220,82 @@ def _sets(members: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "c long, sig binary, shingles binary")
 
 
-def _rest(open_buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links u, v between different components that share a bucket.
+def _cells(open_buckets: DataFrame, size: Column) -> DataFrame:
+    """open_buckets (key, c, n, root), a table, dealt to cells (key, kind, x, y) in which two blocks meet.
 
-    A bucket's largest component is not compared with itself: its members, in blocks, meet the blocks of the other members, and
-    these meet each other. A task holds two blocks with their full sets: pairs whose signatures could reach the threshold, in the
-    first band that they share, are verified on the sets unless the links found so far join them already. Only links leave it.
+    A bucket's largest component is not compared with itself: its members, in blocks, meet the blocks of the other members (kind 0),
+    and these meet each other (kind 1). Blocks hold at most about BUCKET_BLOCK rows and BLOCK_BYTES bytes; size: those of a row.
     """
-    by = open_buckets.groupBy("band", "key", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    most = F.max(F.struct("rows", "shingles", "root"))
-    main = by.groupBy("band", "key").agg(most.alias("main"), F.sum("rows").alias("m"), F.sum("shingles").alias("all"))
-    last = lambda rows, shingles: F.greatest((rows - 1) / BUCKET_BLOCK, shingles * 8 / BLOCK_BYTES).cast("int")
-    of_main = last(F.col("main.rows"), F.col("main.shingles"))
-    main = main.select("band", "key", "m", F.col("main.root").alias("main"), of_main.alias("lm"), last(F.col("m") - F.col("main.rows"), F.col("all") - F.col("main.shingles")).alias("lo"))
-    rows = skew_join(open_buckets, main, ["key", "band"], "m", open_buckets.count()).withColumn("in_main", F.col("root") == F.col("main"))
+    by = open_buckets.groupBy("key", "root").agg(F.count("*").alias("rows"), F.sum(size).alias("bytes"))
+    main = by.groupBy("key").agg(F.max(F.struct("rows", "bytes", "root")).alias("main"), F.sum("rows").alias("m"), F.sum("bytes").alias("all"))
+    last = lambda rows, size: F.greatest((rows - 1) / BUCKET_BLOCK, size / BLOCK_BYTES).cast("int")
+    main = main.select("key", "m", F.col("main.root").alias("main"), last(F.col("main.rows"), F.col("main.bytes")).alias("lm"), last(F.col("m") - F.col("main.rows"), F.col("all") - F.col("main.bytes")).alias("lo"))
+    rows = skew_join(open_buckets, main, ["key"], "m", open_buckets.count()).withColumn("in_main", F.col("root") == F.col("main"))
     own = F.pmod(F.xxhash64("c", F.lit(3)), F.when(F.col("in_main"), F.col("lm")).otherwise(F.col("lo")) + 1).cast("int")
-    rows = rows.withColumn("b", own)
     all_blocks = lambda n: F.sequence(F.lit(0), F.col(n))
     cell = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
     b = F.col("b")
     to_main = F.transform(all_blocks("lo"), lambda o: cell(0, b, o))
     to_others = F.concat(F.transform(all_blocks("lm"), lambda m: cell(0, m, b)), F.transform(all_blocks("lo"), lambda o: cell(1, F.least(b, o), F.greatest(b, o))))
-    bands, least = bands_for(percent), least_estimate(percent)
-    meet = rows.withColumn("cell", F.explode(F.when(F.col("in_main"), to_main).otherwise(to_others)))
-    meet = meet.select("band", "key", "cell.*", "b", "in_main", "c", "root").join(sets, "c")
-
-    def run(t: pa.Table) -> pa.Table:
-        kind, x, y, band = (t.column(k)[0].as_py() for k in ("kind", "x", "y", "band"))
-        blk, c, root = (t.column(k).to_numpy() for k in ("b", "c", "root"))
-        in_main = t.column("in_main").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int32).reshape(len(c), bands, ROWS)
-        full = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
-        n = np.array([len(x) for x in full])
-        left = np.flatnonzero(~in_main if kind == 0 else blk == x)
-        right = np.flatnonzero(in_main) if kind == 0 else left if x == y else np.flatnonzero(blk == y)
-        group = root.copy()  # the component of each row, as known here
+    met = rows.withColumn("b", own).withColumn("cell", F.explode(F.when(F.col("in_main"), to_main).otherwise(to_others)))
+    return met.select("key", "cell.*", "b", "in_main", "c", "n", "root")
+
+
+class _Cell:
+    """A cell's rows and, for each row of its left side, the rows of the right side that could be linked with it."""
+
+    def __init__(self, t: pa.Table, percent: int):
+        key, kind, x, y = (t.column(k)[0].as_py() for k in ("key", "kind", "x", "y"))
+        self.band, self.percent, self.least, self.both_ways = key & (1 << BAND_BITS) - 1, percent, least_estimate(percent), kind == 1 and x == y
+        self.c, self.n, self.root = (t.column(k).to_numpy() for k in ("c", "n", "root"))
+        blk, in_main = t.column("b").to_numpy(), t.column("in_main").to_numpy()
+        self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int32).reshape(len(blk), bands_for(percent), ROWS)
+        self.left = np.flatnonzero(~in_main if kind == 0 else blk == x)
+        self.right = np.flatnonzero(in_main) if kind == 0 else self.left if x == y else np.flatnonzero(blk == y)
+
+    def likely(self, i: int, group: np.ndarray) -> np.ndarray:
+        """Rows of other groups whose signatures could reach the threshold with row i's, the likeliest first; pairs that share an
+        earlier band have met there."""
+        right = self.right
+        ok = right[(group[right] != group[i]) & ((self.c[right] > self.c[i]) | (not self.both_ways))]
+        ok = ok[100 * np.minimum(self.n[ok], self.n[i]) >= self.percent * np.maximum(self.n[ok], self.n[i])]
+        if not len(ok):
+            return ok
+        same = self.sig[ok] == self.sig[i]
+        share = same.mean((1, 2))
+        fit = (share >= self.least) & ~same[:, : self.band].all(2).any(1)
+        return ok[fit][np.argsort(-share[fit], kind="stable")]
+
+
+def _rest(open_buckets: DataFrame, classes: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
+    """Links u, v between different components that share a bucket; only links leave a cell."""
+
+    def sift(t: pa.Table) -> pa.Table:
+        cell, stay = _Cell(t, percent), np.zeros(t.num_rows, bool)
+        for i in cell.left:
+            near = cell.likely(i, cell.root)
+            stay[near] = True
+            stay[i] |= len(near) > 0
+        return pa.table({"key": t.column("key").to_numpy()[stay], "c": cell.c[stay]})
+
+    def verify(t: pa.Table) -> pa.Table:
+        cell = _Cell(t, percent)
+        full, group = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()], cell.root.copy()
         us, vs = [], []
-        for i in left:
-            ok = right[(group[right] != group[i]) & ((c[right] > c[i]) | (kind == 0) | (x != y))]
-            ok = ok[100 * np.minimum(n[ok], n[i]) >= percent * np.maximum(n[ok], n[i])]
-            if not len(ok):
-                continue
-            same = sig[ok] == sig[i]
-            likely = same.mean((1, 2))
-            fit = (likely >= least) & ~same[:, :band].all(2).any(1)
-            for j in ok[fit][np.argsort(-likely[fit], kind="stable")]:
+        for i in cell.left:
+            for j in cell.likely(i, group):
                 if group[i] != group[j] and _linked(full[i], full[j], percent):
-                    us.append(int(c[i]))
-                    vs.append(int(c[j]))
+                    us.append(int(cell.c[i]))
+                    vs.append(int(cell.c[j]))
                     group[group == group[j]] = group[i]
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return meet.groupBy("band", "key", "kind", "x", "y").applyInArrow(run, "u long, v long").distinct()
+    cell = ["key", "kind", "x", "y"]
+    signed = open_buckets.select("c").distinct().join(classes.select("c", "sig"), "c")
+    alike = _cells(open_buckets, F.lit(4 * bands_for(percent) * ROWS)).join(signed, "c").groupBy(cell).applyInArrow(sift, "key long, c long").distinct()
+    left = table(open_buckets.join(alike, ["key", "c"], "left_semi"), "alike")
+    sets = table(_sets(left.select("c").distinct().join(classes.select("c", "sig"), "c"), stored), "sets")
+    return _cells(left, F.col("n") * 8).join(sets, "c").groupBy(cell).applyInArrow(verify, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key: str = "doc_id", uid: str | None = None) -> DataFrame:
@@ -285,17 +311,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, text: str = "text", key:
     rows = table(features(stored, bands_for(percent) * ROWS), "minhash")
     classes = table(rows.where("n > 0").groupBy("n", "a", "b").agg(F.min("uid").alias("c"), F.count("*").alias("m"), F.first("sig").alias("sig")), "classes")
     bands = _bands(classes, bands_for(percent))
-    centre = bands.groupBy("band", "key").agg(F.min(F.struct("c", "n")).alias("u"), F.count("*").alias("m")).where("m > 1")
-    buckets = bands.join(centre, ["key", "band"])  # few rows have a partner; a large bucket's sorted partition is split at runtime
-    buckets = table(buckets.select("band", "key", "c", "n", F.col("u.c").alias("u"), F.col("u.n").alias("nu"), "m"), "buckets")
+    centre = bands.groupBy("key").agg(F.min("c").alias("u"), F.min_by("n", "c").alias("nu"), F.count("*").alias("m")).where("m > 1")
+    # few rows have a partner; a large bucket's sorted partition is split at runtime
+    buckets = table(bands.join(centre, "key").select("key", "c", "n", "u", "nu", "m"), "buckets")
     links = table(_verify(buckets.where("c != u").select("u", "nu", F.col("c").alias("v"), F.col("n").alias("nv"), "m"), stored, percent), "links")
     roots = connected_components(links)
-    placed = buckets.join(roots.select(F.col("v").alias("c"), "root"), "c", "left").select("band", "key", "c", "n", F.coalesce("root", "c").alias("root"))
-    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo != hi and m > 2").select("band", "key", "m")
-    open_buckets = table(skew_join(placed, mixed, ["key", "band"], "m", buckets.count()).select("band", "key", "c", "n", "root"), "open")
+    placed = buckets.join(roots.select(F.col("v").alias("c"), "root"), "c", "left").select("key", "c", "n", F.coalesce("root", "c").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo != hi and m > 2").select("key", "m")
+    open_buckets = table(skew_join(placed, mixed, ["key"], "m", buckets.count()).select("key", "c", "n", "root"), "open")
     if open_buckets.head(1):
-        members = open_buckets.select("c").distinct().join(classes.select("c", "sig"), "c")
-        more = table(_rest(open_buckets, table(_sets(members, stored), "sets"), percent), "links")
+        more = table(_rest(open_buckets, classes, stored, percent), "links")
         if more.head(1):
             roots = connected_components(roots.select(F.col("v").alias("u"), F.col("root").alias("v")).union(more))
     member = classes.select("n", "a", "b", "m", "c").join(roots.select(F.col("v").alias("c"), "root"), "c", "left").select("n", "a", "b", "m", F.coalesce("root", "c").alias("root"))
