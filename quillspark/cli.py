@@ -1,10 +1,14 @@
-"""python -m quillspark.cli kwic|variants|shards|log-validate|log-summary|log-export ..."""
+"""python -m quillspark.cli kwic|variants|shards|measure|fingerprint|log-validate|log-summary|log-export|log-append|gate ..."""
 
 from __future__ import annotations
 
 import argparse
+import json
+from datetime import datetime
+from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.api import Corpus
 from quillspark.operators import eventlog, index
@@ -25,12 +29,29 @@ def main(argv: list[str] | None = None) -> int:
     s = sub.add_parser("shards", help="plan and manifest")
     s.add_argument("corpus")
     s.add_argument("target", type=int, nargs="?", default=6_000_000)
+    m = sub.add_parser("measure", help="bytes, entropy, mean code length and estimated index size of a corpus")
+    m.add_argument("corpus")
+    sub.add_parser("fingerprint", help="hash of the index format")
+    w = sub.add_parser("log-append", help="append one event to a loop's log")
+    w.add_argument("logs")
+    w.add_argument("loop")
+    w.add_argument("event")
+    w.add_argument("pairs", nargs="*", metavar="key=value")
+    w.add_argument("--project", default="")
+    w.add_argument("--ts", default="")
+    g = sub.add_parser("gate", help="size and secrets of a change: a numstat listing and a folder of diffs")
+    g.add_argument("numstat")
+    g.add_argument("diffs")
+    g.add_argument("--exempt", action="append", default=[])
     for name in ("log-validate", "log-summary", "log-export"):
         x = sub.add_parser(name)
         x.add_argument("logs")
         if name == "log-export":
             x.add_argument("out")
     a = p.parse_args(argv)
+    if a.what == "fingerprint":
+        print(index.fingerprint())
+        return 0
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.what == "kwic":
         Corpus.load(spark, a.corpus).kwic(a.word, max_rows=a.n).orderBy("doc_id", "pos").limit(a.n).show(a.n, False)
@@ -38,6 +59,37 @@ def main(argv: list[str] | None = None) -> int:
         Corpus.load(spark, a.corpus).count_with_variants(a.word, a.risky).orderBy("ord").show(50, False)
     elif a.what == "shards":
         index.manifest(Corpus.load(spark, a.corpus).shards(a.target)).orderBy("shard_id").show(1000, False)
+    elif a.what == "measure":
+        corpus = Corpus.load(spark, a.corpus)
+        histogram = index.byte_histogram(corpus.docs).cache()
+        size, mean = histogram.agg(F.sum("n")).first()[0] or 0, index.mean_code_length(index.code_table(histogram)).first().mean_bits or 0.0
+        print(f"bytes {size:,}; bits a byte: entropy {index.entropy(histogram).first().h0}, code {mean}; index about {index.index_size(size, mean):,} bytes")
+        print(f"longest walk to a sampled row: {index.whole_most_steps(corpus.docs).agg(F.max('steps')).first()[0]}")
+    elif a.what == "gate":
+        stat = readers.numstat(spark, a.numstat)
+        total = eventlog.diff_gate(stat, exempt=a.exempt).first()
+        found = eventlog.secret_scan(eventlog.added_lines(readers.diff_lines(spark, a.diffs)))
+        print(f"{total.lines} lines in {total.files} files: {'ok' if total.ok else 'too large'}")
+        if not total.ok:
+            eventlog.top_files(stat).show(5, False)
+        found.where("size(block) + size(warn) > 0").select("path", "line", "block", "warn").show(1000, False)
+        return int(not total.ok or found.where("size(block) > 0").count() > 0)
+    elif a.what == "log-append":
+        text_keys = [k for k, kind in eventlog.REQUIRED.get(a.event, {}).items() if kind == "string"]
+        pairs = spark.createDataFrame([(a.pairs,)], "p array<string>").select(eventlog.key_values(F.col("p"), text_keys).alias("m")).first().m
+        folder, name = Path(a.logs), f"{a.loop}.jsonl"
+        folder.mkdir(parents=True, exist_ok=True)
+        log = eventlog.parse(readers.log_lines(spark, a.logs)).where(F.col("file") == a.loop)
+        project = a.project or (log.orderBy("line").select("project").first() or [""])[0]
+        data = "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {v}" for k, v in pairs.items()) + "}"
+        record = {"v": "1.2", "ts": a.ts or datetime.now().astimezone().isoformat(timespec="seconds"), "project": project, "loop_id": a.loop, "event": a.event}
+        row = spark.createDataFrame([(a.loop, 1 << 40, *record.values(), data)], f"file string, line long, {', '.join(f'{k} string' for k in eventlog.ENVELOPE)}")
+        judged = eventlog.append_errors(eventlog.record_errors(row), log).first()
+        if judged.errors or judged.refused:
+            print("not appended: " + "; ".join([*judged.errors, *judged.refused]))
+            return 1
+        with open(folder / name, "a", encoding="utf-8") as f:
+            f.write(json.dumps(record, ensure_ascii=False)[:-1] + f', "data": {data}}}\n')
     else:
         rows = eventlog.parse(readers.log_lines(spark, a.logs))
         real = eventlog.effective(rows)

@@ -116,6 +116,12 @@ def rstrip(line: Column) -> Column:
     return F.regexp_replace(line, r"(?U)[\s\x1c-\x1f]+$", "")
 
 
+def rstrip_lines(text: Column) -> Column:
+    """rstrip of every line of a text (lines end at U+000A alone). A run of white space is looked at once."""
+    space = r"[\s\x1c-\x1f&&[^\n]]"
+    return F.regexp_replace(text, rf"(?U)(?<!{space}){space}++(?=\n|\z)", "")
+
+
 def fnv1a(b: Column) -> Column:
     """The 64-bit FNV-1a hash of binary data in hexadecimal: a fold over bytes on two 32-bit halves."""
     low = (1 << 32) - 1

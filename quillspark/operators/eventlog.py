@@ -30,10 +30,11 @@ ALLOWED = {
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """file, line, value (JSON text) to rows with the envelope's fields; blank and broken lines go."""
-    ok = lines.where(F.trim("value") != "").withColumn("j", F.try_parse_json("value")).where("j is not null")
-    get = lambda k: F.try_variant_get("j", f"$.{k}", "string").alias(k)
-    return ok.select("file", "line", *(get(k) for k in ENVELOPE[:-1]), F.to_json(F.try_variant_get("j", "$.data", "variant")).alias("data"))
+    """file, line, value (JSON text) to rows with the envelope's fields; blank lines and those that are no JSON object go."""
+    schema = ", ".join(f"{k} string" for k in [*ENVELOPE, "_broken"])
+    j = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_broken"})
+    ok = lines.where(F.trim("value") != "").withColumn("j", j).where("j._broken is null")
+    return ok.select("file", "line", *(F.col(f"j.{k}").alias(k) for k in ENVELOPE))
 
 
 def field(name: str, data: str = "data") -> Column:
@@ -110,12 +111,15 @@ def file_errors(rows: DataFrame) -> DataFrame:
 def loop_facts(rows: DataFrame) -> DataFrame:
     """A row for each (project, loop_id) of effective rows with times, goal, outcome, counts and the last test run."""
     is_ = lambda e: F.col("event") == e
-    last = lambda name: F.max_by(F.when(is_("test_run"), field(name).try_cast("long")), F.when(is_("test_run"), F.struct("file", "line")))
+    named = is_("loop_start") | is_("loop_end") | is_("test_run")
+    rows = rows.withColumn("d", F.when(named, F.from_json("data", "goal string, outcome string, passed string, failed string")))
+    at = F.when(is_("test_run"), F.struct("file", "line"))
+    last = lambda name: F.max_by(F.when(is_("test_run"), F.col(f"d.{name}").try_cast("long")), at)
     return rows.groupBy("project", "loop_id").agg(
         F.max(F.when(is_("loop_start"), F.col("ts"))).alias("started_at"),
         F.max(F.when(is_("loop_end"), F.col("ts"))).alias("ended_at"),
-        F.max(F.when(is_("loop_start"), field("goal"))).alias("goal"),
-        F.max(F.when(is_("loop_end"), field("outcome"))).alias("outcome"),
+        F.max(F.when(is_("loop_start"), F.col("d.goal"))).alias("goal"),
+        F.max(F.when(is_("loop_end"), F.col("d.outcome"))).alias("outcome"),
         F.count_if(is_("failure")).alias("n_failures"),
         F.count_if(is_("commit")).alias("n_commits"),
         F.count_if(is_("test_run")).alias("n_test_runs"),
@@ -138,9 +142,9 @@ def two_strike(failures: DataFrame) -> DataFrame:
     return out.select("code", "total", (F.col("total") >= 2).alias("needs_hc"), "has_hc_ref").orderBy(F.desc("total"), "code")
 
 
-def flattened(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """The envelope and a data_ column for each field."""
-    return rows.select(*ENVELOPE[:-1], *(field(f).alias(f"data_{f}") for f in fields))
+def flattened(rows: DataFrame, fields: list[str], keep: list[str] = ()) -> DataFrame:
+    """The columns to keep, the envelope and a data_ column for each field."""
+    return rows.select(*keep, *ENVELOPE[:-1], *(field(f).alias(f"data_{f}") for f in fields))
 
 
 def attribution(base: DataFrame, current: DataFrame, key: str) -> DataFrame:
@@ -176,11 +180,60 @@ def diff_gate(numstat: DataFrame, max_lines: int = 500, max_files: int = 30, exe
     return total.withColumn("ok", (F.col("lines") <= max_lines) & (F.col("files") <= max_files))
 
 
-def key_values(pairs: Column) -> Column:
-    """A map of key=value strings; values keep their text, JSON or not."""
-    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.substring(p, F.locate("=", p) + 1, F.length(p)).alias("v"))))
+def key_values(pairs: Column, text_keys: list[str] = ()) -> Column:
+    """A map of key=value strings to JSON texts: values that are JSON keep their type, all others, and those of text_keys, become JSON
+    strings."""
+    value = lambda p: F.substring(p, F.locate("=", p) + 1, F.length(p))
+    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1)
+    kept = lambda p: F.substring_index(p, "=", 1).isin(list(text_keys)) if text_keys else F.lit(False)
+    typed = lambda p: F.coalesce(F.when(~kept(p), F.to_json(F.try_parse_json(value(p)))), quoted(value(p)))
+    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), typed(p).alias("v"))))
 
 
 def version_at_least(v: Column, *wanted: int) -> Column:
     parts = F.transform(F.split(v, r"\."), lambda x: x.try_cast("int"))
     return parts >= F.array(*(F.lit(x) for x in wanted))
+
+
+def append_errors(new: DataFrame, log: DataFrame) -> DataFrame:
+    """new (rows for files of log) with `refused`: why a row may not follow the log.
+
+    A row must be of its file's project, unless it is a correction; a correction must name a row that counts; a file with an end takes
+    only rows that replace voided ones of their event, one for each. Rows of new count in the order of their lines.
+    """
+    real = effective(log)
+    project = real.groupBy("file").agg(F.min_by("project", "line").alias("_project"), F.bool_or(F.col("event") == "loop_end").alias("_ended"))
+    end = log.where("event = 'loop_end'").groupBy("file").agg(F.max("line").alias("_end"))
+    gone = voids(log).where("problem is null").select("file", F.col("target").alias("line"))
+    voided = log.join(gone, ["file", "line"], "left_semi").groupBy("file", "event").agg(F.count("*").alias("_voided"))
+    replaced = log.join(end, "file").where("line > _end").groupBy("file", "event").agg(F.count("*").alias("_replaced"))
+    targets = real.select("file", F.col("line").alias("_target"), F.lit(True).alias("_counts"))
+    earlier = F.row_number().over(Window.partitionBy("file", "event").orderBy("line")) - 1
+    met = new.withColumn("_target", field("supersedes").try_cast("long")).withColumn("_earlier", earlier)
+    met = met.join(project, "file", "left").join(voided, ["file", "event"], "left").join(replaced, ["file", "event"], "left").join(targets, ["file", "_target"], "left")
+    correction = F.col("event") == "correction"
+    slots = F.coalesce("_voided", F.lit(0)) - F.coalesce("_replaced", F.lit(0)) - F.col("_earlier")
+    checks = [
+        F.when(~correction & (F.col("_project") != F.col("project")), F.lit("another project")),
+        F.when(correction & F.col("_counts").isNull(), F.lit("no row to correct")),
+        F.when(~correction & F.coalesce("_ended", F.lit(False)) & (slots <= 0), F.lit("the loop has ended")),
+    ]
+    return met.withColumn("refused", F.array_compact(F.array(*checks))).select(*new.columns, "refused")
+
+
+def added_lines(diff: DataFrame) -> DataFrame:
+    """Rows file, no, value of unified diffs to path, line, text of each added line. A diff's rows meet by its file."""
+    w = Window.partitionBy("file").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    v = F.col("value")
+    path = F.last(F.when(F.startswith(v, F.lit("+++ b/")), v.substr(F.lit(7), F.length(v))), ignorenulls=True).over(w)
+    hunk = F.sum(F.startswith(v, F.lit("@@")).cast("long")).over(w)
+    start = F.last(F.when(F.startswith(v, F.lit("@@")), F.coalesce(F.regexp_extract(v, r"\+(\d+)", 1).try_cast("long"), F.lit(0))), ignorenulls=True).over(w)
+    added = F.startswith(v, F.lit("+")) & ~F.startswith(v, F.lit("+++"))
+    named = diff.select("file", "no", v, F.coalesce(path, F.lit("?")).alias("path"), hunk.alias("h"), F.coalesce(start, F.lit(0)).alias("s")).where(added)
+    at = F.row_number().over(Window.partitionBy("file", "h").orderBy("no")) - 1
+    return named.select("path", (F.col("s") + at).alias("line"), v.substr(F.lit(2), F.length(v)).alias("text"))
+
+
+def top_files(numstat: DataFrame, n: int = 5) -> DataFrame:
+    """The n files with the most changed lines; ties by name."""
+    return numstat.select("file", (F.col("added") + F.col("deleted")).alias("lines")).orderBy(F.desc("lines"), "file").limit(n)

@@ -11,30 +11,104 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.frames import sums_before
+from quillspark.functions.store import table
+
 FORMAT_VERSION = 1
 SAMPLE = 64
 
 
-def shard_plan(sizes: DataFrame, target: int, key: str = "doc_id", size: str = "bytes") -> DataFrame:
-    """key, size, shard_id: documents in key order, a new shard whenever the next one would pass the target.
+#: Documents of one range of the plan.
+RANGE_ROWS = 500_000
+_FIRST = -(1 << 63)  # stands for null keys, which come first
+
 
-    The plan is a fold over the order: where a shard starts depends on all before it. It runs as one stream of (key, size) with two
-    numbers of state; only these two narrow columns are sorted, texts never move.
+class _Range:
+    """Sizes of consecutive documents, and where shards begin there.
+
+    A shard that begins at document s ends before the first document i that would take it past the target, unless it is empty so far.
     """
-    rows = sizes.select(F.col(key).cast("long").alias(key), F.col(size).cast("long").alias(size)).orderBy(key)
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, filled = 0, 0
-        for b in batches:
-            out = []
-            for n in b.column(1).to_pylist():
-                if filled > 0 and filled + n > target:
-                    shard, filled = shard + 1, 0
-                filled += n
-                out.append(shard)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [key, size, "shard_id"])
+    def __init__(self, sizes: np.ndarray, target: int):
+        self.target, self.m = target, len(sizes)
+        self.sum = np.concatenate([[0], np.cumsum(sizes)])
+
+    def after(self, start: np.ndarray, filled: np.ndarray) -> np.ndarray:
+        """The first document that does not go to a shard which holds `filled` bytes before document `start`; m: none."""
+        i = np.maximum(np.searchsorted(self.sum, self.sum[start] - filled + self.target, side="right") - 1, start)
+        empty = (i < self.m) & (filled + self.sum[np.minimum(i, self.m)] - self.sum[start] == 0)
+        return np.minimum(np.where(empty, i + 1, i), self.m)
+
+    def exits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each entry, bytes in the open shard, at which the first break changes: (from, breaks, bytes in the shard at the end).
+
+        The entry is 0, or lies above a number of the first array and at most at the next one. Breaks depend on the entry by the
+        first one alone, which is one of the documents in the first `target` bytes.
+        """
+        following = self.after(np.arange(self.m), np.zeros(self.m, np.int64)).tolist() if self.m else []
+        breaks, last = [0] * (self.m + 1), list(range(self.m + 1))
+        for s in range(self.m - 1, -1, -1):
+            e = following[s]
+            breaks[s], last[s] = (1, s) if e == self.m else (1 + breaks[e], last[e])
+        total = int(self.sum[-1])
+        most = max(0, self.target - total)
+        begin, count, filled = [-1, 0], [max(0, breaks[0] - 1) if self.m else 0, 0], [total - int(self.sum[last[0]]) if self.m else 0, -1]
+        # entries above target - sum[i + 1] break at i at the latest: the last document first
+        reach = int(np.searchsorted(self.sum, self.target, side="left"))
+        for i in range(min(reach, self.m) - 1, -1, -1):
+            low = max(0, self.target - int(self.sum[i + 1]))
+            if low == begin[-1] and len(begin) > 2:
+                begin.pop(), count.pop(), filled.pop()
+            if low >= most:
+                begin.append(low)
+                count.append(breaks[i])
+                filled.append(total - int(self.sum[last[i]]))
+        return np.array(begin), np.array(count), np.array(filled)
+
+    def shards(self, filled: int) -> np.ndarray:
+        """Breaks up to and with each document."""
+        out, at = np.zeros(self.m, np.int64), int(self.after(np.array([0]), np.array([filled]))[0]) if self.m else 0
+        while at < self.m:
+            out[at] += 1
+            at = int(self.after(np.array([at]), np.array([0]))[0])
+        return np.cumsum(out)
+
+
+def shard_plan(sizes: DataFrame, target: int, key: str = "doc_id", size: str = "bytes", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """key, size, shard_id: documents in key order, a new shard whenever the next one would pass the target; equal keys by size.
+
+    Where a shard starts depends on all before it. Documents are dealt to ranges of keys (a written table of these two columns).
+    Each range tells, for any number of bytes in the open shard at its start, how many shards begin in it and what the last one
+    holds: a step function with at most as many steps as there are documents in `target` bytes. The driver follows these functions
+    from range to range, one at a time, and keeps two numbers for each; then each range places its documents.
+    """
+    rows = sizes.select(F.col(key).cast("long").alias("k"), F.col(size).cast("long").alias("n"))
+    ranges = max(1, math.ceil(rows.count() / range_rows))
+    rows = table(rows.repartitionByRange(ranges, "k").withColumn("part", F.spark_partition_id()), "sizes")
+
+    def ordered(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        k, n = t.column("k").fill_null(_FIRST).to_numpy(), t.column("n").fill_null(0).to_numpy()
+        order = np.lexsort((n, k))
+        return k[order], n[order]
+
+    def exits(t: pa.Table) -> pa.Table:
+        found = _Range(ordered(t)[1], target).exits()
+        return pa.table({"part": t.column("part").slice(0, 1), **{x: pa.array([v.astype(np.int64).tobytes()], pa.binary()) for x, v in zip(("a", "b", "c"), found, strict=True)}})
+
+    begun, filled, total, entries = 0, 0, 0, []
+    sums = {r.part: r.n for r in rows.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row for each range
+    for r in rows.groupBy("part").applyInArrow(exits, "part int, a binary, b binary, c binary").orderBy("part").toLocalIterator():
+        entries.append((r.part, filled, begun))
+        begin, count, held = (np.frombuffer(x, np.int64) for x in (r.a, r.b, r.c))
+        step = 0 if filled == 0 else max(1, int(np.searchsorted(begin, filled, side="left")) - 1)
+        begun, filled = begun + int(count[step]), int(held[step]) if held[step] >= 0 else filled + sums[r.part]
+    at = rows.sparkSession.createDataFrame(entries, "part int, filled long, begun long")
 
-    return rows.coalesce(1).mapInArrow(fold, f"{key} long, {size} long, shard_id long")
+    def place(t: pa.Table) -> pa.Table:
+        k, n = ordered(t)
+        return pa.table({key: pa.array(k, mask=k == _FIRST), size: n, "shard_id": t.column("begun")[0].as_py() + _Range(n, target).shards(t.column("filled")[0].as_py())})
+
+    return rows.join(F.broadcast(at), "part").groupBy("part").applyInArrow(place, f"{key} long, {size} long, shard_id long")
 
 
 def doc_offsets(planned: DataFrame, key: str = "doc_id", size: str = "bytes") -> DataFrame:
@@ -59,26 +133,11 @@ def doc_of_position(points: DataFrame, offsets: DataFrame, key: str = "doc_id",
 # --- suffix order ---------------------------------------------------------------------------------------------------------
 
 
-def suffixes(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, pos (1-based characters, one more than the text for the sentinel), suffix, prev: for texts of index size."""
-    n = F.length(text)
-    pos = F.explode(F.sequence(F.lit(1), n + 1)).alias("pos")
-    rows = texts.select(key, text, pos)
-    prev = F.when(F.col("pos") == 1, F.lit("")).otherwise(F.substring(F.col(text), F.col("pos") - 1, F.lit(1)))
-    return rows.select(key, "pos", F.substring(F.col(text), F.col("pos"), n - F.col("pos") + 1).alias("suffix"), prev.alias("bwt"))
-
-
-def suffix_array(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, row (0: the sentinel), pos, bwt (empty: the sentinel). Sorted by UTF-8 bytes within each text."""
-    w = Window.partitionBy(key).orderBy("suffix")
-    return suffixes(texts, key, text).select(key, (F.row_number().over(w) - 1).cast("long").alias("row"), F.col("pos").cast("long").alias("pos"), "bwt")
-
-
 def _dense(pairs: DataFrame) -> DataFrame:
     """r, r2, rank: places of distinct pairs in order. Ranks r are dense, so ranges of r are even parts; only their counts meet."""
     parts = pairs.distinct().withColumn("part", F.floor(F.col("r") / 4096))
     counts = parts.groupBy("part").agg(F.count("*").alias("n"))
-    base = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    base = sums_before(counts, "part", "n", "base").select("part", "base")
     local = F.row_number().over(Window.partitionBy("part").orderBy("r", "r2"))
     return parts.withColumn("local", local).join(base, "part").select("r", "r2", (F.col("base") + F.col("local") - 1).alias("rank"))
 
@@ -101,50 +160,9 @@ def suffix_array_doubling(text: DataFrame) -> DataFrame:
     return rank.select((F.col("r") - 1).alias("row"), "pos")
 
 
-def symbol_counts(columns: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, symbol, n, c: how often each symbol of the last column occurs, and how many smaller ones there are."""
-    by = columns.groupBy(key, F.col("bwt").alias("symbol")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key).orderBy("symbol").rowsBetween(Window.unboundedPreceding, -1)
-    return by.withColumn("c", F.coalesce(F.sum("n").over(w), F.lit(0)))
-
-
-def lf_mapping(columns: DataFrame, key: str = "doc_id") -> DataFrame:
-    """columns with rank (equal symbols in earlier rows) and lf = c + rank, the row of the preceding suffix."""
-    w = Window.partitionBy(key, "bwt").orderBy("row")
-    counts = symbol_counts(columns, key).select(key, F.col("symbol").alias("bwt"), "c")
-    return columns.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).join(counts, [key, "bwt"]).withColumn("lf", F.col("c") + F.col("rank"))
-
-
-def inverse_bwt(mapped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, text: the walk along lf from the sentinel's row, on arrays of one text."""
-    by = mapped.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("row", "bwt", "lf"))).alias("x"))
-    start = F.struct(F.lit(0).cast("long").alias("row"), F.lit("").alias("t"))
-    step = lambda a, _: F.struct(F.get(F.col("x"), a["row"].cast("int"))["lf"].alias("row"), F.concat(F.get(F.col("x"), a["row"].cast("int"))["bwt"], a["t"]).alias("t"))
-    return by.select(key, F.aggregate("x", start, step, lambda a: a["t"]).alias("text"))
-
-
-def backward_search(columns: DataFrame, pattern: str, key: str = "doc_id") -> DataFrame:
-    """key, hits: rows whose suffix starts with the pattern, found from the last symbol to the first."""
-    counts = symbol_counts(columns, key)
-    whole = columns.groupBy(key).agg(F.lit(0).cast("long").alias("lo"), F.count("*").alias("hi"))
-    span = whole
-    for ch in reversed(pattern):
-        c = counts.where(F.col("symbol") == ch).select(key, "c")
-        seen = columns.where(F.col("bwt") == ch).select(key, "row")
-        ranks = span.join(seen, key, "left").groupBy(key, "lo", "hi").agg(F.count_if(F.col("row") < F.col("lo")).alias("a"), F.count_if(F.col("row") < F.col("hi")).alias("b"))
-        span = ranks.join(c, key, "left").select(key, (F.coalesce("c", F.lit(0)) + F.col("a")).alias("lo"), (F.coalesce("c", F.lit(0)) + F.col("b")).alias("hi"))
-    out = span.select(key, F.greatest(F.col("hi") - F.col("lo"), F.lit(0)).alias("hits"))
-    return out if pattern else out.withColumn("hits", F.lit(0).cast("long"))
-
-
-def samples(columns: DataFrame, step: int = SAMPLE, by: str = "row") -> DataFrame:
-    """Every step-th row (or position) of the suffix order."""
-    return columns.where(F.col(by) % step == 0)
-
-
 # --- whole texts ----------------------------------------------------------------------------------------------------------
-# The columns above for texts of any length, each text on its own in one task: nothing is shuffled and no suffix is written out.
-# Null texts have no rows, as above; repeated ids are texts of their own.
+# Texts of any length, each on its own in one task: nothing is shuffled and no suffix is written out. Row 0 is the sentinel's. Null
+# texts have no rows; repeated ids are texts of their own.
 
 #: Rows of output after which a batch is passed on.
 BATCH = 1 << 18
@@ -198,6 +216,49 @@ class LastColumn:
         out[np.argsort(self.bwt, kind="stable")] = np.arange(len(out))
         return out
 
+    def rows_of(self) -> np.ndarray:
+        """The row of each place (the inverse of order)."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.arange(len(out))
+        return out
+
+    def range_of(self, pattern: str) -> tuple[int, int]:
+        """The rows whose suffixes begin with the pattern, from its last symbol to its first; the empty pattern: none."""
+        lo, hi = 0, len(self.bwt) if pattern else 0
+        for ch in reversed(pattern):
+            if ch not in self.symbols:
+                return 0, 0
+            s = self.symbols.index(ch)
+            lo, hi = (int(self.c[s]) + int(np.count_nonzero(self.bwt[:x] == s)) for x in (lo, hi))
+        return lo, max(lo, hi)
+
+    def locate(self, pattern: str, step: int = SAMPLE) -> list[int]:
+        """Places of a pattern: from each row along lf to a sampled row."""
+        lf, found = self.lf(), []
+        for row in range(*self.range_of(pattern)):
+            steps = 0
+            while row % step:
+                row, steps = int(lf[row]), steps + 1
+            found.append((int(self.order[row]) + steps) % len(self.order))
+        return sorted(found)
+
+    def most_steps(self, step: int = SAMPLE) -> int:
+        """The longest walk along lf from any row to a sampled one."""
+        at = np.arange(len(self.order))
+        sampled = np.maximum.accumulate(np.where(self.rows_of() % step == 0, at, -1))
+        return int((at - sampled).max())
+
+    def access(self, at: int, step: int = SAMPLE) -> str | None:
+        """The symbol at a place: from the row of the next sampled place back along lf; None outside the text."""
+        n = len(self.order) - 1
+        if not 0 <= at < n:
+            return None
+        place = min(n, -(-(at + 1) // step) * step)
+        row, lf = int(self.rows_of()[place]), self.lf()
+        for _ in range(place - at - 1):
+            row = int(lf[row])
+        return self.symbols[self.bwt[row]]
+
     def text(self) -> str:
         lf, bwt, row, out = self.lf().tolist(), self.bwt.tolist(), 0, []
         while bwt[row]:
@@ -206,13 +267,8 @@ class LastColumn:
         return "".join(reversed(out))
 
     def count(self, pattern: str) -> int:
-        lo, hi = 0, len(self.bwt)
-        for ch in reversed(pattern):
-            if ch not in self.symbols:
-                return 0
-            s = self.symbols.index(ch)
-            lo, hi = (int(self.c[s]) + int(np.count_nonzero(self.bwt[:x] == s)) for x in (lo, hi))
-        return hi - lo if pattern else 0
+        lo, hi = self.range_of(pattern)
+        return hi - lo
 
 
 def _whole(texts: DataFrame, make: Callable[[LastColumn], list], schema: str, key: str, text: str) -> DataFrame:
@@ -282,13 +338,50 @@ def whole_backward_search(texts: DataFrame, pattern: str, key: str = "doc_id", t
     return _whole(texts, lambda x: [[x.count(pattern)]], "hits long", key, text)
 
 
+def whole_locate(texts: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, pos: characters before each occurrence, overlapping ones included."""
+    return _whole(texts.where(F.contains(text, F.lit(pattern))), lambda x: [x.locate(pattern)], "pos long", key, text)
+
+
+def whole_access(texts: DataFrame, at: list[int], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, pos, symbol for those of the places that lie in the text."""
+
+    def make(x: LastColumn) -> list:
+        inside = [i for i in at if i < len(x.order) - 1]
+        return [inside, [x.access(i) for i in inside]]
+
+    return _whole(texts, make, "pos long, symbol string", key, text)
+
+
+def whole_isa_sample(texts: DataFrame, step: int = SAMPLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, pos (from 0, every step-th), row."""
+
+    def make(x: LastColumn) -> list:
+        return [np.arange(0, len(x.order), step), x.rows_of()[::step]]
+
+    return _whole(texts, make, "pos long, row long", key, text)
+
+
+def whole_most_steps(texts: DataFrame, step: int = SAMPLE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return _whole(texts, lambda x: [[x.most_steps(step)]], "steps long", key, text)
+
+
 # --- statistics -----------------------------------------------------------------------------------------------------------
 
 
 def byte_histogram(docs: DataFrame, text: str = "text") -> DataFrame:
-    """byte, n over all texts. Each text's bytes collapse to at most 256 counts before anything is shuffled."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(F.col(text), "UTF-8")), F.lit("(..)"), F.lit(1))
-    return docs.select(F.explode(pairs).alias("h")).groupBy("h").agg(F.count("*").alias("n")).select(F.conv("h", 16, 10).cast("long").alias("byte"), "n")
+    """byte, n over all texts. A task counts its texts' bytes and passes on at most 256 rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                if t.is_valid:
+                    total += np.bincount(np.frombuffer(t.as_buffer(), np.uint8), minlength=256)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found])], ["byte", "n"])
+
+    return docs.select(text).mapInArrow(run, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n"))
 
 
 def entropy(histogram: DataFrame, n: str = "n") -> DataFrame:
@@ -332,6 +425,14 @@ def index_size(n_bytes: int, mean_bits: float, sample: int = SAMPLE) -> int:
     return words * 8 + words // 8 * 4 + 2 * 4 * (n_bytes // sample + 1)
 
 
+def fingerprint() -> str:
+    """FNV-1a of what an index table's readers rely on: its version, the sampling step, the columns."""
+    h = 0xCBF29CE484222325
+    for b in f"{FORMAT_VERSION} {SAMPLE} doc_id row pos bwt rank lf".encode():
+        h = (h ^ b) * 0x100000001B3 % (1 << 64)
+    return f"0x{h:016x}"
+
+
 # --- ranges, pruning ------------------------------------------------------------------------------------------------------
 
 
@@ -357,10 +458,29 @@ def prunable(sets: DataFrame, pattern: str) -> DataFrame:
     return sets.select("grp", (F.size(F.array_except(need, "symbols")) > 0).alias("skipped"))
 
 
+#: Files of a gram index, by the grams' hashes.
+GRAM_BUCKETS = 32
+
+
 def gram_index(docs: DataFrame, n: int = 3, key: str = "doc_id") -> DataFrame:
-    """gram, key: the distinct n-character grams of each text."""
-    grams = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-    return docs.select(key, F.explode(grams).alias("gram"))
+    """gram, bucket, key: the distinct n-character grams of each text, as a written table with a folder for each bucket of grams,
+    sorted by gram there. Build it once, look words up in it often: a lookup reads the buckets of its grams, and of these the row
+    groups that may hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                ids, grams = [], []
+                for i, t in zip(b.column(0).slice(s, 256), b.column(1).slice(s, 256), strict=True):
+                    x = t.as_py() or ""
+                    found = list({x[k : k + n] for k in range(len(x) - n + 1)})
+                    ids.append(pa.repeat(i, len(found)))
+                    grams.extend(found)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(grams, pa.string())], [key, "gram"])
+
+    grams = docs.select(F.col(key).cast("long").alias(key), "text").mapInArrow(run, f"{key} long, gram string")
+    bucketed = grams.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(GRAM_BUCKETS)).cast("int"))
+    return table(bucketed.repartition(GRAM_BUCKETS, "bucket").sortWithinPartitions("bucket", "gram"), "grams", "bucket")
 
 
 def gram_candidates(grams: DataFrame, pattern: str, n: int = 3, key: str = "doc_id") -> DataFrame:
@@ -368,4 +488,8 @@ def gram_candidates(grams: DataFrame, pattern: str, n: int = 3, key: str = "doc_
     need = sorted({pattern[i : i + n] for i in range(len(pattern) - n + 1)})
     if not need:
         return grams.select(key).distinct()
-    return grams.where(F.col("gram").isin(need)).groupBy(key).agg(F.count("*").alias("k")).where(F.col("k") == len(need)).select(key)
+    spark = grams.sparkSession
+    places = spark.range(1).select(F.explode(F.array(*(F.lit(g) for g in need))).alias("g")).select(F.pmod(F.xxhash64("g"), F.lit(GRAM_BUCKETS)).cast("int").alias("b"))
+    buckets = sorted({r.b for r in places.collect()})  # a row for each gram of the pattern
+    hit = grams.where(F.col("bucket").isin(buckets) & F.col("gram").isin(need))
+    return hit.groupBy(key).agg(F.count_distinct("gram").alias("k")).where(F.col("k") == len(need)).select(key)

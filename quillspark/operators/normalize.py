@@ -1,7 +1,8 @@
 """Markup removal with exact accounting: every removed character is counted under one heading.
 
 The order is fixed: line ends, notes, ruby, pipes, line-end blanks, title and author, legend, footer, rules, blank runs, edges.
-Everything is a projection over arrays of lines; each stage sees the lines once.
+Everything is a projection. Stages work on the whole text, by multi-line patterns; only texts that hold a line which looks like a
+rule or a footer are cut into arrays of lines for that stage. A null text stands for no line at all, the empty one for an empty line.
 """
 
 from __future__ import annotations
@@ -40,9 +41,33 @@ def strip_markup(text: Column, m: Markup = Markup()) -> Column:
     return F.replace(F.regexp_replace(F.regexp_replace(text, m.note, ""), m.ruby, ""), F.lit(m.pipe), F.lit(""))
 
 
-def _size(lines: Column) -> Column:
-    """Characters of lines with a line end each."""
-    return F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x) + 1)
+def _size(text: Column) -> Column:
+    """Characters of a text's lines with a line end each; none for no line."""
+    return F.coalesce(F.length(text) + 1, F.lit(0))
+
+
+def _lines(text: Column) -> Column:
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1))
+
+
+def _text(lines: Column) -> Column:
+    return F.when(F.size(lines) > 0, F.array_join(lines, "\n"))
+
+
+def _first_line(text: Column) -> Column:
+    """The first line that is not empty; the empty text without one."""
+    return F.regexp_extract(text, r"\A\n*([^\n]+)", 1)
+
+
+def _after_first_line(text: Column) -> Column:
+    """What follows the first line that is not empty; null if that was the last line."""
+    head = F.length(F.regexp_extract(text, r"\A\n*[^\n]+", 0))
+    return F.when(head < F.length(text), text.substr(head + 2, F.length(text)))
+
+
+def _has_line(text: Column, pattern: str) -> Column:
+    """Whether a line may match: no text without it does."""
+    return F.coalesce(text.rlike(f"(?md){pattern}"), F.lit(False))
 
 
 def _first(lines: Column, test) -> Column:
@@ -62,33 +87,37 @@ def normalize(docs: DataFrame, m: Markup = Markup(), title: str = "title", autho
     col = F.col
     df = docs.withColumn("_t", newlines(F.coalesce(col(text), F.lit(""))))
     df = df.withColumn("_n", F.regexp_replace("_t", m.note, "")).withColumn("_r", F.regexp_replace("_n", m.ruby, "")).withColumn("_p", F.replace("_r", F.lit(m.pipe), F.lit("")))
-    df = df.withColumn("_l0", F.transform(F.split("_p", "\n", -1), tx.rstrip))
+    df = df.withColumn("_l0", tx.rstrip_lines(col("_p")))
     # title and author
-    df = df.withColumn("_i", _first(col("_l0"), lambda x: x != ""))
-    want = tx.flat(F.coalesce(col(title), F.lit("")))
-    hit = (col("_i") > 0) & (F.coalesce(col(title), F.lit("")) != "") & (tx.flat(F.get(col("_l0"), col("_i") - 1)) == want)
-    df = df.withColumn("_hit", F.coalesce(hit, F.lit(False))).withColumn("_rest", _tail(col("_l0"), col("_i") + 1)).withColumn("_j", _first(col("_rest"), lambda x: x != ""))
+    df = df.withColumn("_i", _first_line(col("_l0")))
+    wanted = F.coalesce(col(title), F.lit(""))
+    hit = (wanted != "") & (col("_i") != "") & (tx.flat(col("_i")) == tx.flat(wanted))
+    df = df.withColumn("_hit", hit).withColumn("_rest", F.when(hit, _after_first_line(col("_l0"))))
+    df = df.withColumn("_j", F.coalesce(_first_line(col("_rest")), F.lit("")))
     name = F.coalesce(col(author), F.lit(""))
-    by = tx.flat(F.get(col("_rest"), col("_j") - 1)).isin(tx.flat(name), tx.flat(F.reverse(name)))
-    after = F.when(col("_j") == 0, F.array().cast("array<string>")).otherwise(_tail(col("_rest"), col("_j") + by.cast("int")))
+    by = tx.flat(col("_j")).isin(tx.flat(name), tx.flat(F.reverse(name)))
+    after = F.when(col("_j") != "", F.when(by, _after_first_line(col("_rest"))).otherwise(F.ltrim(col("_rest"), F.lit("\n"))))
     df = df.withColumn("_l1", F.when(col("_hit"), after).otherwise(col("_l0")))
     # legend between the first two rules
-    rules = F.filter(F.transform("_l1", lambda x, i: F.when(x.rlike(m.rule), i)), lambda i: i.isNotNull())
+    df = df.withColumn("_x", F.when(_has_line(col("_l1"), m.rule), _lines(col("_l1"))))
+    rules = F.filter(F.transform("_x", lambda x, i: F.when(x.rlike(m.rule), i)), lambda i: i.isNotNull())
     df = df.withColumn("_d", rules).withColumn("_a", F.get("_d", F.lit(0))).withColumn("_b", F.get("_d", F.lit(1)))
-    block = F.array_join(F.slice("_l1", col("_a") + 2, F.greatest(col("_b") - col("_a") - 1, F.lit(0))), "\n")
+    block = F.array_join(F.slice("_x", col("_a") + 2, F.greatest(col("_b") - col("_a") - 1, F.lit(0))), "\n")
     told = F.lit(False)
     for mark in m.legend:
         told = told | F.contains(block, F.lit(mark))
     df = df.withColumn("_leg", F.coalesce(col("_b").isNotNull() & told, F.lit(False)))
-    df = df.withColumn("_l2", F.when(col("_leg"), _tail(col("_l1"), col("_b") + 2)).otherwise(col("_l1")))
+    df = df.withColumn("_l2", F.when(col("_leg"), _text(_tail(col("_x"), col("_b") + 2))).otherwise(col("_l1")))
     # footer, only with evidence
-    head = _first(col("_l2"), lambda x: x.rlike(m.footer))
-    df = df.withColumn("_c", F.when(head > 0, head).otherwise(_first(col("_l2"), lambda x: x.rlike(m.footer_else))))
-    proof = F.exists(_tail(col("_l2"), F.greatest(col("_c"), F.lit(1))), lambda x: x.rlike(m.evidence))
+    df = df.withColumn("_y", F.when(_has_line(col("_l2"), m.footer) | _has_line(col("_l2"), m.footer_else), _lines(col("_l2"))))
+    head = _first(col("_y"), lambda x: x.rlike(m.footer))
+    df = df.withColumn("_c", F.when(col("_y").isNull(), 0).when(head > 0, head).otherwise(_first(col("_y"), lambda x: x.rlike(m.footer_else))))
+    proof = F.exists(_tail(col("_y"), F.greatest(col("_c"), F.lit(1))), lambda x: x.rlike(m.evidence))
     df = df.withColumn("_foot", F.when(col("_c") == 0, "none").when(proof, "footer").otherwise("refused"))
-    df = df.withColumn("_l3", F.when(col("_foot") == "footer", F.slice("_l2", 1, col("_c") - 1)).otherwise(col("_l2")))
-    df = df.withColumn("_l4", F.filter("_l3", lambda x: ~x.rlike(m.rule)))
-    df = df.withColumn("_joined", F.array_join("_l4", "\n")).withColumn("_short", F.regexp_replace("_joined", "\n{3,}", "\n\n")).withColumn("_body", F.regexp_replace("_short", "^\n+|\n+\\z", ""))
+    df = df.withColumn("_l3", F.when(col("_foot") == "footer", _text(F.slice("_y", 1, col("_c") - 1))).otherwise(col("_l2")))
+    plain = _text(F.filter(_lines(col("_l3")), lambda x: ~x.rlike(m.rule)))
+    df = df.withColumn("_l4", F.when(_has_line(col("_l3"), m.rule), plain).otherwise(col("_l3")))
+    df = df.withColumn("_joined", F.coalesce("_l4", F.lit(""))).withColumn("_short", F.regexp_replace("_joined", "\n{3,}", "\n\n")).withColumn("_body", F.trim("_short", F.lit("\n")))
     size = F.length
     values = {
         "note": size("_t") - size("_n"),
@@ -105,7 +134,9 @@ def normalize(docs: DataFrame, m: Markup = Markup(), title: str = "title", autho
     total = sum(values.values(), F.lit(0))
     acc = [v.cast("long").alias(k) for k, v in values.items()] + [size("_t").cast("long").alias("in"), size("_body").cast("long").alias("out"), (size("_t") - size("_body") - total).cast("long").alias("balance")]
     forms = F.struct(F.when(col("_hit"), "title+author").otherwise("none").alias("title"), F.when(col("_leg"), "legend").otherwise("none").alias("legend"), col("_foot").alias("footer"))
-    df = df.withColumn("body", F.concat("_body", F.lit("\n"))).withColumn("forms", forms).withColumn("acc", F.struct(*acc))
+    # a filter on the result stays above it: pushed down, it would take along all the stages once for each mention of them
+    stay = F.monotonically_increasing_id() >= 0
+    df = df.withColumns({"body": F.when(stay, F.concat("_body", F.lit("\n"))), "forms": F.when(stay, forms), "acc": F.when(stay, F.struct(*acc))})
     return df.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("body", "forms", "acc")], "body", "forms", "acc")
 
 

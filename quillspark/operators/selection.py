@@ -54,3 +54,32 @@ def ranking(entries: DataFrame, per_page: int = 500, month: str = "month") -> Da
 def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of left whose key right lacks."""
     return left.join(right.select(key), key, "left_anti")
+
+
+def capped_by_id(population: DataFrame, cap: int, author: str = "author", id_: str = "id") -> DataFrame:
+    """The first `cap` works of each author by the text of their ids."""
+    w = Window.partitionBy(author).orderBy(F.col(id_).cast("string"))
+    return population.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
+
+
+def missing_top(ranked: DataFrame, population: DataFrame, selected: DataFrame, n: int = 100) -> DataFrame:
+    """Of the n best of a ranking (id, score), those in the population that were not selected."""
+    top = ranked.orderBy(F.desc("score"), "id").limit(n)
+    return top.join(population.select("id"), "id", "left_semi").join(selected.select("id"), "id", "left_anti")
+
+
+def size_statistics(works: DataFrame, text: str = "text") -> DataFrame:
+    """works, mean and median of characters, UTF-8 bytes a character, and all bytes."""
+    n = F.length(text)
+    out = works.agg(F.count(text).alias("works"), F.avg(n).alias("mean"), F.median(n).alias("median"), F.sum(F.octet_length(text).cast("long")).alias("bytes"), F.sum(n).alias("chars"))
+    return out.select("works", F.round("mean", 2).alias("mean_chars"), F.col("median").cast("double").alias("median_chars"), F.round(F.col("bytes") / F.col("chars"), 4).alias("bytes_per_char"), "bytes")
+
+
+def sampled(works: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
+    """n works in the order of a hash of their ids: the same ones at each run, for estimates."""
+    return works.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+
+
+def thousands(number: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(number.cast("long"), 0)

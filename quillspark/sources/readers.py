@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.frames import sums_before
+
 # Columns of the catalogue and of the selection.
 CATALOGUE = ["作品ID", "作品名", "姓", "名", "文字遣い種別", "分類番号", "テキストファイルURL", "作品著作権フラグ"]
 SELECTION = [*CATALOGUE[:-1], "順位スコア"]
@@ -50,18 +52,33 @@ def capped(docs: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
     """
     sized = docs.withColumn("_n", F.octet_length("text").cast("long")).withColumn("_b", F.floor(F.col(key) / 4096))
     blocks = sized.groupBy("_b").agg(F.sum("_n").alias("_s"))
-    blocks = blocks.withColumn("_base", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_base")
+    blocks = sums_before(blocks, "_b", "_s", "_base").select("_b", "_base")
     w = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     out = sized.join(blocks, "_b").withColumn("_at", F.col("_base") + F.coalesce(F.sum("_n").over(w), F.lit(0)))
     return out.where(F.col("_at") < limit).drop("_n", "_b", "_base", "_at")
 
 
-def decoded(blob: bytes) -> str:
-    """Shift-JIS of the Windows kind, else UTF-8 with replacement characters."""
-    try:
-        return blob.decode("cp932")
-    except UnicodeDecodeError:
-        return blob.decode("utf-8", "replace")
+def decoded(blob: bytes, *kinds: str) -> str:
+    """The first of the encodings that fits; the last one with replacement characters. By default Windows' Shift-JIS, then UTF-8."""
+    kinds = kinds or ("cp932", "utf-8")
+    for kind in kinds[:-1]:
+        try:
+            return blob.decode(kind)
+        except UnicodeDecodeError:
+            pass
+    return blob.decode(kinds[-1], "replace")
+
+
+def web_pages(spark: SparkSession, path: str, glob: str = "*.html") -> DataFrame:
+    """name (the file's stem), html: pages in UTF-8, else in Windows' Shift-JIS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [decoded(x.as_py(), "utf-8", "cp932") for x in b.column("content")]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(texts, pa.string())], ["path", "html"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, html string").select(stem(F.col("path")).alias("name"), "html")
 
 
 def zipped_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -125,3 +142,9 @@ def index_table(spark: SparkSession, path: str, version: int) -> DataFrame:
     if [r.format_version for r in found] != [version]:
         raise ValueError(f"format versions {[r.format_version for r in found]}, wanted {version}")
     return df
+
+
+def diff_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, no, value of unified diffs, one text a file; operators.eventlog.added_lines takes them."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.diff")
+    return files.select(stem(F.input_file_name()).alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("no", "value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.store import table
 from quillspark.operators import eventlog
 
 # Spelling kinds and genres of the user interface, with the default for others.
@@ -34,11 +35,33 @@ def texts(rows: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
     rows.select(key, text).write.mode("overwrite").parquet(path)
 
 
-def fetch_report(fetched: DataFrame) -> DataFrame:
-    """selected, ok, failed, bytes and whether failures stay within two per cent."""
+def fetch_report(fetched: DataFrame, selected: int | None = None, raw: DataFrame | None = None, elapsed: float = 0.0) -> DataFrame:
+    """selected, attempted, ok, failed, fails (id and problem), raw_files, raw_bytes, elapsed_sec and whether failures stay within two
+    per cent. raw: all stored texts, without it the fetched ones. Failures are listed whole; they are few, or `within` is false."""
     bad = F.col("problem").isNotNull()
-    out = fetched.agg(F.count("*").alias("selected"), F.count_if(~bad).alias("ok"), F.count_if(bad).alias("failed"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("raw_bytes"))
-    return out.withColumn("within", F.col("failed") * 50 <= F.col("selected"))
+    listed = F.array_sort(F.collect_list(F.when(bad, F.struct("doc_id", "problem"))))
+    out = fetched.agg(F.count("*").alias("attempted"), F.count_if(~bad).alias("ok"), F.count_if(bad).alias("failed"), listed.alias("fails"))
+    kept = (raw if raw is not None else fetched.where(~bad)).agg(F.count("*").alias("raw_files"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("raw_bytes"))
+    whole = out.crossJoin(F.broadcast(kept))  # one row each
+    total = F.col("attempted") if selected is None else F.lit(selected).cast("long")
+    return whole.select(total.alias("selected"), *out.columns, *kept.columns, F.round(F.lit(float(elapsed)), 1).alias("elapsed_sec"), (F.col("failed") * 50 <= F.col("attempted")).alias("within"))
+
+
+def author_name(surname: str = "姓", name: str = "名") -> Column:
+    return F.concat(F.coalesce(F.col(surname), F.lit("")), F.coalesce(F.col(name), F.lit("")))
+
+
+def class_code(column: str = "分類番号") -> Column:
+    """The first of codes separated by slashes; the empty text without one."""
+    return F.trim(F.get(F.split(F.coalesce(F.col(column), F.lit("")), "/"), F.lit(0)))
+
+
+def works(normalized: DataFrame, excluded: DataFrame, path: str) -> None:
+    """The works, in id order, and the excluded ones with their reasons, as JSON lines in two folders, and their number: a summary."""
+    normalized.orderBy(F.col("id").cast("long")).write.mode("overwrite").json(f"{path}/works")
+    excluded.select("id", "title", "reason").write.mode("overwrite").json(f"{path}/excluded")
+    counts = normalized.agg(F.count("*").alias("n")).crossJoin(excluded.agg(F.count("*").alias("excluded")))  # one row each
+    counts.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
 
 
 def coded(column: Column, table: dict, default) -> Column:
@@ -56,19 +79,28 @@ def shards(planned: DataFrame, path: str, key: str = "doc_id") -> None:
     planned.repartition("shard_id").sortWithinPartitions("shard_id", key).write.mode("overwrite").partitionBy("shard_id").parquet(path)
 
 
-def calibration(ratios: DataFrame, probes: DataFrame) -> DataFrame:
-    """One JSON document a rule: hits, ratios and probes."""
+def calibration(ratios: DataFrame, probes: DataFrame, docs: DataFrame, old: Column) -> DataFrame:
+    """One JSON document a rule: hits, ratios and probes, and in each the number of works and of those in the old spelling."""
     by = probes.groupBy("rule").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("form", F.struct("hits", "old"))))).alias("probes"))
-    joined = ratios.join(by, "rule")
-    return joined.select("rule", F.to_json(F.struct("hits", "old_hits", "old_ratio", "old_ratio_pct", "probes")).alias("json"))
+    totals = docs.agg(F.count("*").alias("works"), F.count_if(old).alias("old_kana_works"))
+    joined = ratios.join(by, "rule").crossJoin(F.broadcast(totals))  # one row
+    return joined.select("rule", F.to_json(F.struct("works", "old_kana_works", "hits", "old_hits", "old_ratio", "old_ratio_pct", "probes")).alias("json"))
+
+
+def ranking(ranked: DataFrame, path: str) -> None:
+    """The ranking as JSON lines, best first."""
+    ranked.orderBy(F.desc("score"), "id").write.mode("overwrite").json(path)
 
 
-def append_events(rows: DataFrame, path: str) -> int:
-    """Appends rows without errors as JSON lines; returns how many had errors and stayed out."""
-    checked = eventlog.record_errors(rows).cache()
+def append_events(rows: DataFrame, path: str, log: DataFrame | None = None) -> int:
+    """Appends rows without errors as JSON lines; returns how many had errors and stayed out. With the log that is there already, rows
+    that may not follow it stay out, too (see eventlog.append_errors)."""
+    checked = eventlog.record_errors(rows)
+    if log is not None:
+        checked = eventlog.append_errors(checked, log).withColumn("errors", F.concat("errors", "refused")).drop("refused")
+    checked = table(checked, "appended")
     bad = checked.where(F.size("errors") > 0).count()
     checked.where(F.size("errors") == 0).select("file", F.to_json(F.struct(*eventlog.ENVELOPE[:-1], F.parse_json("data").alias("data"))).alias("value")).write.mode("append").partitionBy("file").text(path)
-    checked.unpersist()
     return bad
 
 

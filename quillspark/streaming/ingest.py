@@ -2,32 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a new local one only where spark.checkpoint.dir is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return top.rstrip("/")
+from quillspark.functions.store import new_path
 
 
 def document_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet files at a path, a file or a folder, as a stream of documents."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    """Parquet files at a path, a file or a folder, as a stream of documents. A file is read from its folder by its very name."""
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    single = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isFile()
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    return stream.option("pathGlobFilter", name).parquet(folder) if single else stream.parquet(path)
 
 
 def counts_by(spark: SparkSession, path: str, pattern: str, group: str) -> DataFrame:
     """group, docs, hits from a stream that takes what is there and ends; the state is a row for each group."""
-    top = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    top = new_path(spark, "ingest")
     rows = document_stream(spark, path).select(group, tx.count_overlapping(F.col("text"), pattern).alias("hits"))
     counts = rows.groupBy(group).agg(F.count("*").alias("docs"), F.sum("hits").alias("hits"))
 

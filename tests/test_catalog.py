@@ -26,6 +26,13 @@ def shown(v):
     return str(v)
 
 
+def test_histogram_against_python(spark):
+    import collections
+
+    text = "".join(r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect())
+    assert {r.byte: r.n for r in catalog.byte_histogram(spark, SMALL).collect()} == collections.Counter(text.encode())
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_sql(spark, duck, name):
     df = catalog.QUERIES[name](spark, SMALL)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillspark.operators import index
@@ -10,20 +11,61 @@ def naive_rows(text):
     return order, [text[i - 1] if i else "" for i in order]
 
 
-def test_suffix_order_bwt_and_inverse(spark):
-    r = random.Random(2)
-    texts = ["", "a", "banana", "mississippi", "abracadabra", "あのはなのはな", "ab" * 20] + ["".join(r.choice("ab") for _ in range(r.randint(1, 40))) for _ in range(12)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = index.suffix_array(df).collect()
-    for i, t in enumerate(texts):
-        mine = sorted((x.row, x.pos, x.bwt) for x in rows if x.doc_id == i)
-        order, last = naive_rows(t)
-        assert [p - 1 for _, p, _ in mine] == order and [b for _, _, b in mine] == last
-    back = {x.doc_id: x.text for x in index.inverse_bwt(index.lf_mapping(index.suffix_array(df))).collect()}
-    assert back == dict(enumerate(texts))
-    for p in ("a", "ab", "ana", "issi", "はな", "zz", ""):
-        hits = {x.doc_id: x.hits for x in index.backward_search(index.suffix_array(df), p).collect()}
-        assert hits == {i: sum(t.startswith(p, k) for k in range(len(t))) if p else 0 for i, t in enumerate(texts)}
+def greedy(sizes, target):
+    shard = filled = 0
+    out = []
+    for n in sizes:
+        if filled > 0 and filled + n > target:
+            shard, filled = shard + 1, 0
+        filled += n
+        out.append(shard)
+    return out
+
+
+def test_range_exits_for_every_entry():
+    r = random.Random(9)
+    for _ in range(300):
+        target = r.randint(1, 25)
+        sizes = [r.choice([0, 0, 1, 2, 5, 9, target, target + 3, 40]) for _ in range(r.randint(0, 14))]
+        rng = index._Range(np.array(sizes, np.int64), target)
+        begin, count, held = rng.exits()
+        for filled in range(target + 45):
+            step = 0 if filled == 0 else max(1, int(np.searchsorted(begin, filled, side="left")) - 1)
+            shard, f = 0, filled
+            for n in sizes:
+                if f > 0 and f + n > target:
+                    shard, f = shard + 1, 0
+                f += n
+            assert (count[step], held[step] if held[step] >= 0 else filled + sum(sizes)) == (shard, f), (sizes, target, filled)
+            assert (rng.shards(filled)[-1] if sizes else 0) == shard
+
+
+def test_shard_plan_over_many_ranges(spark):
+    r = random.Random(4)
+    sizes = [r.choice([0, 1, 3, 10, 50, 130]) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, bytes long")
+    for target in (20, 100, 3000):
+        got = [x.shard_id for x in index.shard_plan(df, target, range_rows=23).orderBy("doc_id").collect()]
+        assert got == greedy(sizes, target)
+    assert index.shard_plan(df.limit(0), 10).count() == 0
+
+
+def test_last_column_locates_and_accesses():
+    r = random.Random(6)
+    for t in ["", "a", "banana" * 30, "あのはなのはな", "".join(r.choice("ab") for _ in range(300))]:
+        x, (order, _) = index.LastColumn(t), naive_rows(t)
+        at = {p: row for row, p in enumerate(order)}
+        for p in ("a", "ab", "ana", "はな", "zz", ""):
+            assert x.locate(p) == [k for k in range(len(t)) if p and t.startswith(p, k)]
+        assert [x.access(i) for i in range(len(t))] == list(t) and x.access(len(t)) is None and x.access(-1) is None
+        steps = []
+        for place in range(len(t) + 1):
+            p, n = place, 0
+            while at[p] % index.SAMPLE:
+                p, n = (p - 1 if p else len(t)), n + 1
+            steps.append(n)
+        assert x.most_steps() == max(steps)
+        assert x.rows_of().tolist() == [at[p] for p in range(len(t) + 1)]
 
 
 def test_prefix_doubling(spark, tmp_path):
@@ -79,9 +121,9 @@ def test_whole_texts_of_all_documents(spark, tmp_path):
     texts |= {100 + i: "".join(r.choice("ab") for _ in range(r.randint(1, 400))) for i in range(8)}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {}
-    for name in ("suffix_array", "bwt", "c_table", "lf_mapping", "inverse_bwt", "backward_search_count", "sa_sample"):
+    for name in ("suffix_array", "bwt", "c_table", "lf_mapping", "inverse_bwt", "backward_search_count", "sa_sample", "isa_sample", "most_lf_steps", "bwt_access"):
         got[name] = {i: [] for i in texts}
-        for x in catalog.QUERIES[f"{name}_whole"](spark, str(tmp_path)).collect():
+        for x in catalog.QUERIES[name](spark, str(tmp_path)).collect():
             got[name][x.doc_id].append(tuple(x)[1:])
     for i, t in texts.items():
         if t is None:
@@ -96,4 +138,6 @@ def test_whole_texts_of_all_documents(spark, tmp_path):
         lf = [at[p - 1] if p else 0 for p in order]
         assert sorted(got["lf_mapping"][i]) == [(row, last[:row].count(last[row]), lf[row]) for row in range(len(order))]
         assert got["inverse_bwt"][i] == [(t,)]
+        assert sorted(got["isa_sample"][i]) == [(p, at[p]) for p in range(0, len(order), 64)] and len(got["most_lf_steps"][i]) == 1
+        assert sorted(got["bwt_access"][i]) == [(p, t[p]) for p in (0, 63, 64, 500, 4000) if p < len(t)]
         assert got["backward_search_count"][i] == [(sum(t.startswith("er", k) for k in range(len(t))),)]

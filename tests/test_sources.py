@@ -1,6 +1,7 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import calibrate, eventlog, selection
@@ -52,7 +53,8 @@ def test_texts_zips_and_caps(spark, tmp_path):
     got = {r.doc_id: (r.text, r.problem) for r in readers.zipped_texts(spark, str(tmp_path)).collect()}
     assert got == {5: ("吾輩", None), 6: (None, "bad archive")}
     report = writers.fetch_report(readers.zipped_texts(spark, str(tmp_path))).first()
-    assert (report.selected, report.failed, report.within) == (2, 1, False)
+    assert (report.selected, report.attempted, report.failed, report.raw_files, report.within) == (2, 2, 1, 1, False)
+    assert [(x.doc_id, x.problem) for x in report.fails] == [(6, "bad archive")]
 
 
 def test_ranking_and_metadata(spark, tmp_path):
@@ -97,7 +99,71 @@ def test_calibration_arithmetic(spark):
     c = spark.createDataFrame([("a", "x", 58583, 58275), ("b", "y", 705, 36), ("c", "z", 0, 0)], "rule string, form string, hits long, old long")
     got = {r.rule: (r.old_ratio, r.old_ratio_pct, r.default_on) for r in calibrate.gate(calibrate.rule_ratios(c)).collect()}
     assert got == {"a": (0.9947, 99, True), "b": (0.0511, 5, False), "c": (0.0, 0, False)}
-    assert writers.calibration(calibrate.rule_ratios(c), c).count() == 3
+    works = spark.createDataFrame([(1, "old"), (2, "new"), (3, "old")], "id long, kana string")
+    made = {r.rule: json.loads(r.json) for r in writers.calibration(calibrate.rule_ratios(c), c, works, F.col("kana") == "old").collect()}
+    assert len(made) == 3 and made["a"]["works"] == 3 and made["a"]["old_kana_works"] == 2 and made["b"]["probes"]["y"] == {"hits": 705, "old": 36}
+
+
+def test_append_guards(spark, tmp_path):
+    start = rec("loop_start", goal="g", spec_refs=[], scaffold_version="1", agent="a")
+    failed = rec("failure", code="E1", severity="low", detected_stage=1, summary="s", resolution="r")
+    rows = log(spark, tmp_path, [start, failed, rec("loop_end", outcome="success", failure_count=1, summary="s"), rec("correction", supersedes=2, reason="x")])
+    new = tmp_path / "new"
+    new.mkdir()
+    more = log(spark, new, [failed, failed, rec("commit", sha="1", kind="fix"), rec("correction", supersedes=2, reason="x"), rec("correction", supersedes=1, reason="x"), {**failed, "project": "q"}])
+    got = {r.line: r.refused for r in eventlog.append_errors(more, rows).collect()}
+    assert got == {1: [], 2: ["the loop has ended"], 3: ["the loop has ended"], 4: ["no row to correct"], 5: [], 6: ["another project", "the loop has ended"]}
+    out = str(tmp_path / "out")
+    assert writers.append_events(more, out, rows) == 4
+    assert sorted(json.loads(r.value)["event"] for r in spark.read.text(out).collect()) == ["correction", "failure"]
+
+
+def test_taxonomy_works_probe_and_index_table(spark, tmp_path):
+    (tmp_path / "t.json").write_text(json.dumps({"categories": {"A": "first"}, "codes": {"E1": {"category": "A", "name": "n", "definition": "d"}, "E2": {"category": "?", "name": "m", "definition": "e"}}}))
+    got = {r.code: (r.category_name, r.name) for r in readers.taxonomy(spark, str(tmp_path / "t.json")).collect()}
+    assert got == {"E1": ("first", "n"), "E2": (None, "m")}
+    work = {"id": "000001", "title": "t", "author": "a", "kana": "k", "ndc": "n", "raw_chars": 9, "chars": 5, "lines": 1, "utf8": 15, "forms": {"footer": "footer"}, "acc": {"note": 4}}
+    (tmp_path / "w.json").write_text(json.dumps({"n": 1, "excluded": [], "works": [work]}))
+    w = readers.works(spark, str(tmp_path / "w.json")).first()
+    assert (w.id, w.forms.footer, w.acc.note, w.acc.ruby) == ("000001", "footer", 4, None)
+    writers.works(readers.works(spark, str(tmp_path / "w.json")), spark.createDataFrame([("2", "u", "none")], "id string, title string, reason string"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "summary")).first().asDict() == {"n": 1, "excluded": 1}
+    assert spark.read.json(str(tmp_path / "out" / "works")).first().acc.note == 4
+    (tmp_path / "p.json").write_text(json.dumps({"seed": 1, "cap": 2, "pop": 3, "selected": 2, "n": 1, "records": [{"id": "1", "zip": 5}], "fails": []}))
+    assert readers.probe_sample(spark, str(tmp_path / "p.json")).first().records[0].zip == 5
+    spark.createDataFrame([(1, 1)], "a int, format_version int").write.parquet(str(tmp_path / "x"))
+    assert readers.index_table(spark, str(tmp_path / "x"), 1).count() == 1
+    with pytest.raises(ValueError, match="format versions"):
+        readers.index_table(spark, str(tmp_path / "x"), 2)
+
+
+def test_pages_and_diffs_from_files(spark, tmp_path):
+    (tmp_path / "a.html").write_bytes("日本 é".encode())
+    (tmp_path / "b.html").write_bytes("日本".encode("cp932"))
+    assert {r.name: r.html for r in readers.web_pages(spark, str(tmp_path)).collect()} == {"a": "日本 é", "b": "日本"}
+    (tmp_path / "c.diff").write_text("--- a/x\n+++ b/x\n@@ -1 +5,2 @@\n+one\n+two\n")
+    rows = eventlog.added_lines(readers.diff_lines(spark, str(tmp_path))).collect()
+    assert sorted(tuple(r) for r in rows) == [("x", 5, "one"), ("x", 6, "two")]
+    (tmp_path / "n.txt").write_text("3\t1\tsrc/a\n-\t-\tbin\n")
+    assert {tuple(r) for r in readers.numstat(spark, str(tmp_path / "n.txt")).collect()} == {(3, 1, "src/a"), (0, 0, "bin")}
+
+
+def test_text_keys_and_probe(spark):
+    df = spark.createDataFrame([(["sha=72817e6", "n=3"],)], "p array<string>")
+    assert df.select(eventlog.key_values(F.col("p"), ["sha"]).alias("m")).first().m == {"sha": '"72817e6"', "n": "3"}
+    t = "題\n" + "-" * 20 + "\n記号\n" + "-" * 20 + "\n本 文《ほんぶん》だ。\n底本：x\n"
+    from quillspark.operators import normalize, selection
+
+    df = spark.createDataFrame([(1, t), (2, "b"), (3, "c")], "id long, text string")
+    assert df.where("id = 1").select(normalize.probe_size(F.col("text")).alias("t")).first().t == "本文だ。"
+    assert selection.sampled(df, 2, 5).count() == 2 and selection.sampled(df, 2, 5).collect() == selection.sampled(df.repartition(3), 2, 5).collect()
+
+
+def test_lines_lose_white_space_at_their_ends(spark):
+    from quillspark.functions import text as tx
+
+    t = "a \t\n\u3000 b\u3000\u2028\n" + " " * 200_000 + "x\n \n\x1c"
+    assert spark.createDataFrame([(t,)], "t string").select(tx.rstrip_lines(F.col("t")).alias("t")).first().t == "\n".join(x.rstrip() for x in t.split("\n"))
 
 
 def test_stream_windows_need_a_watermark(spark, sf):
