@@ -116,10 +116,15 @@ def rstrip(line: Column) -> Column:
     return F.regexp_replace(line, r"(?U)[\s\x1c-\x1f]+$", "")
 
 
+# White space by Unicode, with the separators U+001C to U+001F and without the line end U+000A.
+_BLANKS = r"[\x20\t\x0b\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def rstrip_lines(text: Column) -> Column:
-    """rstrip of every line of a text (lines end at U+000A alone). A run of white space is looked at once."""
-    space = r"[\s\x1c-\x1f&&[^\n]]"
-    return F.regexp_replace(text, rf"(?U)(?<!{space}){space}++(?=\n|\z)", "")
+    """rstrip of every line of a text (lines end at U+000A alone). Texts are first asked, from their line ends, whether a line has any
+    white space there; then a run of it is looked at once, from its first character."""
+    some = text.rlike(rf"\n(?<={_BLANKS}\n)") | F.right(text, F.lit(1)).rlike(_BLANKS)
+    return F.when(some, F.regexp_replace(text, rf"{_BLANKS}(?<!{_BLANKS}{_BLANKS}){_BLANKS}*+(?=\n|\z)", "")).otherwise(text)
 
 
 def fnv1a(b: Column) -> Column:

@@ -33,7 +33,7 @@ HEADINGS = ["note", "ruby", "pipe", "trailing_ws", "title", "legend", "footer",
 
 
 def newlines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+    return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
 def strip_markup(text: Column, m: Markup = Markup()) -> Column:
@@ -46,6 +46,12 @@ def _size(text: Column) -> Column:
     return F.coalesce(F.length(text) + 1, F.lit(0))
 
 
+def _gone(before: str, after: str) -> Column:
+    """Characters, with line ends, that a stage took away. Stages only take away, so as many bytes mean the same text."""
+    same = F.octet_length(before).eqNullSafe(F.octet_length(after))
+    return F.when(same, F.lit(0)).otherwise(_size(F.col(before)) - _size(F.col(after)))
+
+
 def _lines(text: Column) -> Column:
     return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1))
 
@@ -117,19 +123,19 @@ def normalize(docs: DataFrame, m: Markup = Markup(), title: str = "title", autho
     df = df.withColumn("_l3", F.when(col("_foot") == "footer", _text(F.slice("_y", 1, col("_c") - 1))).otherwise(col("_l2")))
     plain = _text(F.filter(_lines(col("_l3")), lambda x: ~x.rlike(m.rule)))
     df = df.withColumn("_l4", F.when(_has_line(col("_l3"), m.rule), plain).otherwise(col("_l3")))
-    df = df.withColumn("_joined", F.coalesce("_l4", F.lit(""))).withColumn("_short", F.regexp_replace("_joined", "\n{3,}", "\n\n")).withColumn("_body", F.trim("_short", F.lit("\n")))
+    df = df.withColumn("_joined", F.coalesce("_l4", F.lit(""))).withColumn("_short", F.when(F.contains("_joined", F.lit("\n\n\n")), F.regexp_replace("_joined", "\n{3,}", "\n\n")).otherwise(col("_joined"))).withColumn("_body", F.trim("_short", F.lit("\n")))
     size = F.length
     values = {
-        "note": size("_t") - size("_n"),
-        "ruby": size("_n") - size("_r"),
-        "pipe": size("_r") - size("_p"),
-        "trailing_ws": size("_p") - (_size(col("_l0")) - 1),
-        "title": _size(col("_l0")) - _size(col("_l1")),
-        "legend": _size(col("_l1")) - _size(col("_l2")),
-        "footer": _size(col("_l2")) - _size(col("_l3")),
-        "dash": _size(col("_l3")) - _size(col("_l4")),
-        "blank": size("_joined") - size("_short"),
-        "edge": size("_short") - size("_body"),
+        "note": _gone("_t", "_n"),
+        "ruby": _gone("_n", "_r"),
+        "pipe": _gone("_r", "_p"),
+        "trailing_ws": _gone("_p", "_l0"),
+        "title": _gone("_l0", "_l1"),
+        "legend": _gone("_l1", "_l2"),
+        "footer": _gone("_l2", "_l3"),
+        "dash": _gone("_l3", "_l4"),
+        "blank": _gone("_joined", "_short"),
+        "edge": _gone("_short", "_body"),
     }
     total = sum(values.values(), F.lit(0))
     acc = [v.cast("long").alias(k) for k, v in values.items()] + [size("_t").cast("long").alias("in"), size("_body").cast("long").alias("out"), (size("_t") - size("_body") - total).cast("long").alias("balance")]
