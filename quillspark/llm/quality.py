@@ -137,6 +137,19 @@ def _adam(x: np.ndarray, grad, epochs: int, rate: float = 0.05) -> np.ndarray:
     return w
 
 
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """The gradient of the non-negative risk: of prior * loss(p as positive) + loss(u as negative) - prior * loss(p as negative).
+
+    Where the last two terms, the negative risk, are below zero, the step goes back up on them alone.
+    """
+    sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+    loss = lambda s: -np.log(np.maximum(1 - s, 1e-9)).mean()  # noqa: E731  of calling a row negative
+    negative = (u * su[:, None]).mean(0) - prior * (p * sp[:, None]).mean(0)
+    if loss(su) - prior * loss(sp) < 0:
+        return -negative
+    return -prior * (p * (1 - sp)[:, None]).mean(0) + negative
+
+
 def fit_arrays(positive: np.ndarray, unlabelled: np.ndarray, epochs: int = 400) -> dict:
     """Weights, scaling and estimated prior from the feature rows of trusted positives and unlabelled text."""
     both = np.vstack([positive, unlabelled])
@@ -151,16 +164,7 @@ def fit_arrays(positive: np.ndarray, unlabelled: np.ndarray, epochs: int = 400)
     w0 = _adam(p, plain, 150)
     prior = class_prior(p[1::2] @ w0, u[1::2] @ w0)
 
-    def risk_gradient(w):
-        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
-        loss = lambda s: -np.log(np.maximum(1 - s, 1e-9)).mean()  # noqa: E731  of calling a row negative
-        as_negative_p = (p * sp[:, None]).mean(0)
-        negative = (u * su[:, None]).mean(0) - prior * as_negative_p
-        if loss(su) - prior * loss(sp) < 0:  # the non-negative correction: step back where the negative risk went below zero
-            return -negative
-        return -prior * (p * (1 - sp)[:, None]).mean(0) + negative
-
-    return {"w": _adam(p, risk_gradient, epochs), "mean": mean, "scale": scale, "prior": prior}
+    return {"w": _adam(p, lambda w: risk_gradient(w, p, u, prior), epochs), "mean": mean, "scale": scale, "prior": prior}
 
 
 def score_features(x: np.ndarray, model: dict) -> np.ndarray:

@@ -107,3 +107,51 @@ def test_trees_agree_with_numpy(spark):
     got = [r.s for r in df.select(f.alias("f")).select(col.alias("s")).collect()]
     want = model["trees"][0] + sum(pii.tree_values(t, x) for t in model["trees"][1:])
     assert got == pytest.approx(want.tolist())
+
+
+def test_selection_against_brute_force(spark):
+    """Of overlapping spans, by every pair: none that overlaps one ahead of it stays."""
+    r = random.Random(5)
+    rows = []
+    for i in range(120):
+        spans = []
+        for kind in range(len(pii.KINDS)):
+            at = 0
+            while r.random() < 0.8 and at < 60:
+                start = at + r.randint(0, 12)
+                end = start + r.randint(1, 25)
+                spans.append((start, kind, end, float(r.randint(0, 3))))
+                at = end
+        rows.append((i, sorted(spans)))
+    rows.append((999, [(k * 3 + kind, kind, k * 3 + kind + 2, 1.0) for k in range(700) for kind in (0, 4)]))
+    df = spark.createDataFrame(rows, "id long, s array<struct<start:int,kind:int,end:int,score:double>>").withColumn("s", F.sort_array("s"))
+    order = lambda x: F.struct(-x["score"], x["start"], -x["end"], x["kind"])
+    got = {x.id: [tuple(s) for s in x.b] for x in df.select("id", pii._undominated("s", lambda x, y: order(x) < order(y)).alias("b")).collect()}
+    rank = lambda s: (-s[3], s[0], -s[2], s[1])
+    for i, spans in rows:
+        spans = sorted(spans)
+        assert got[i] == [s for s in spans if not any(q[0] < s[2] and s[0] < q[2] and rank(q) < rank(s) for q in spans)]
+
+
+def test_many_spans_take_linear_time(spark):
+    import time
+
+    model, took = pii.fit(spark), []
+    for n in (500, 10_000):
+        unit = "ann@b.co call (555) 123-4567, ssn 123-45-6789 "
+        df = spark.createDataFrame([(1, unit * n)], "doc_id long, text string")
+        start = time.time()
+        assert pii.redact(df, model).first().text == "[EMAIL] call [PHONE_NATIONAL], ssn [SSN] " * n
+        took.append(time.time() - start)
+    assert took[1] < 30
+
+
+def test_long_spelled_addresses(spark):
+    local = "a" * 70 + ".b"
+    df = spark.createDataFrame([(1, f"write to {local} [at] example [dot] com please")], "doc_id long, text string")
+    assert pii.redact(df).first().text == "write to [EMAIL_SPELLED] please"
+
+
+def test_clashing_columns_of_redact(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co", [1], "x", "y", "z")], "doc_id long, text string, spans array<int>, base_spans string, _t string, _row string")
+    assert [tuple(r) for r in pii.redact(df).collect()] == [(1, "mail [EMAIL]", [1], "x", "y", "z")]
