@@ -172,3 +172,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
 def op7_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+OP7_SQL = f"""
+with recursive ok as (
+  select vec_id, cast(embedding as double[]) as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+linked as (select a.vec_id as u, b.vec_id as v from ok a join ok b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= {COSINE}),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.v from reach r join linked l on l.u = r.b)
+select e.vec_id, (select count(*) from linked l where l.u = e.vec_id) as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join (select a, min(b) as component_id from reach group by a) c on c.a = e.vec_id
+"""

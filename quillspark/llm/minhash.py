@@ -344,3 +344,21 @@ def first_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
 def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP5_SQL = f"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < {WORDS} then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) end as s from words),
+sized as (select doc_id, len(s) as n from sets),
+flat as (select doc_id, unnest(s) as h from sets),
+met as (select a.doc_id as u, b.doc_id as v, count(*) as shared from flat a join flat b on a.h = b.h and a.doc_id < b.doc_id group by all),
+linked as (select u, v from met join sized a on a.doc_id = u join sized b on b.doc_id = v where 100 * shared >= 85 * (a.n + b.n - shared)),
+edges as (select u, v from linked union all select v, u from linked),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, e.v from reach r join edges e on e.u = r.b)
+select s.doc_id, cast(s.n as bigint) as n_shingles, c.component_id, s.doc_id = c.component_id as kept
+from sized s join (select a, min(b) as component_id from reach group by a) c on c.a = s.doc_id
+"""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from .ann import op1_nearest_neighbours
 from .chat import OP6_SQL, op6_chat_format
-from .embedding_dedup import op7_embedding_dedup
+from .embedding_dedup import OP7_SQL, op7_embedding_dedup
 from .html_text import op10_html_text
 from .langid import op9_language_id
-from .minhash import op5_minhash_dedup
+from .minhash import OP5_SQL, op5_minhash_dedup
 from .packing import op3_best_fit_packing
 from .pii import op2_pii
 from .quality import op4_quality
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_html_text": op10_html_text,
 }
-ORACLES = {"op6_chat_format": OP6_SQL}
+ORACLES = {"op5_minhash_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_embedding_dedup": OP7_SQL}
