@@ -2,8 +2,11 @@
 
 import collections
 import os
+import zlib
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -12,14 +15,14 @@ from quillspark.llm import chat, minhash, queries
 from quillspark.llm.common import table
 
 
-def test_chat_matches_sql(spark, sf):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_match_their_sql(spark, sf, name):
     c = duckdb.connect()
     for f in os.listdir(sf):
         c.execute(f"create view {f[:-8]} as select * from '{sf}/{f}'")
-    r = c.sql(queries.ORACLES["op6_chat_format"])
-    want = sorted(dict(zip(r.columns, x, strict=True)).items() for x in r.fetchall())
-    df = chat.op6_chat_format(spark, sf)
-    assert sorted(sorted(x.asDict().items()) for x in df.collect()) == sorted(sorted(x) for x in want)
+    r = c.sql(queries.ORACLES[name])
+    want = sorted(sorted(dict(zip(r.columns, x, strict=True)).items()) for x in r.fetchall())
+    assert sorted(sorted(x.asDict().items()) for x in queries.QUERIES[name](spark, sf).collect()) == want
 
 
 def test_chat_round_trip_and_mask(spark):
@@ -157,3 +160,49 @@ def test_near_duplicates_stage_does_not_depend_on_how_scans_are_split(spark, tmp
         minhash.near_duplicates = numbered
         spark.conf.unset(key)
     assert kept[0] == kept[1] == list(range(700))
+
+
+def plain_pipeline(spark, sf):
+    """The pipeline's pieces (doc_id, piece, start, length, ids) with models applied a text at a time and pairs compared one by one."""
+    import re
+
+    import pyarrow as pa
+    from test_pairs import roots, shingle_set
+    from tokenizers import Tokenizer
+
+    from quillspark.llm import langid, packing, pii, quality
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names, matrix = langid.fit(docs)
+    rows = []
+    for r in docs.collect():
+        points = np.array([ord(c) for c in (r.text or "").lower()], np.uint32)
+        score = matrix[-1].astype(float) + sum((matrix[langid.ngram_buckets(points, n)].astype(float).sum(0) for n in langid.ORDERS), np.zeros(len(names)))
+        if re.search(r"[^\W\d_]", r.text or "") and 1 / np.exp(score - score.max()).sum() >= 0.5:
+            rows.append(r)
+    kept = spark.createDataFrame(rows, docs.schema)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    model = quality.fit(kept, labels)
+    rows = [r for r in rows if quality.score_features(quality.featurise(pa.array([r.text], pa.string())), model)[0] >= 0.3]
+    rows.sort(key=lambda r: r.doc_id)
+    sets = [shingle_set(r.text) for r in rows]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    rows = [r for i, (r, c) in enumerate(zip(rows, roots(len(rows), linked), strict=True)) if i == c]
+    library, out = Tokenizer.from_file(packing.vocabulary_path()), set()
+    found = {r.doc_id: r.spans for r in pii.find_spans(spark.createDataFrame(rows, docs.schema)).collect()}
+    for r in rows:
+        text, at = "", 0
+        for s in found[r.doc_id]:
+            if s.start >= at:
+                text += r.text[at : s.start] + f"[{pii.KINDS[s.kind].upper()}]"
+            at = max(at, s.end)
+        ids = library.encode(text + r.text[at:], add_special_tokens=False).ids + [0]
+        first = len(ids) % 2048 or 2048
+        cuts = [0, *range(first, len(ids), 2048), len(ids)]
+        out |= {(r.doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))}
+    return out
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    found = corpus_pipeline.run(spark, sf).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found} == plain_pipeline(spark, sf) and len(found) == len(set(found))

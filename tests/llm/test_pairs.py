@@ -157,6 +157,35 @@ def test_embedding_links(spark, block, monkeypatch):
     assert embedding_dedup.near_duplicates(none).count() == 0
 
 
+def test_embeddings_that_repeat_or_lack_ids(spark):
+    x = [1.0, 2.0, 3.0]
+    rows = [(5, x, 0), (5, x, 0), (None, [2.0, 4.0, 6.0], 0), (None, [9.0, -1.0, 0.0], 0), (None, None, 0), (7, [-1.0, 0.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, component_id int")
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, 2, 5), (5, 2, 5), (None, 2, 5), (None, 0, None), (None, 0, None), (7, 0, 7)], key=str)
+
+
+def test_sketches_of_pairs_at_the_threshold():
+    r = np.random.default_rng(6)
+    x = r.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.standard_normal((4000, 64))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    apart = np.bitwise_count(embedding_dedup.sketches(x) ^ embedding_dedup.sketches(y)).sum(1)
+    assert apart.max() < embedding_dedup.sketch_limit() - 5
+
+
+def test_hub_keys_are_joined_whole(spark, monkeypatch):
+    from quillspark.llm import common
+
+    monkeypatch.setattr(common, "HUBS", 4)
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "k long, v long")
+    keyed = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("most")).where("k != 9")
+    got = sorted(tuple(r) for r in common.skew_join(rows, keyed, ["k"], "n", 300).collect())
+    assert got == sorted(tuple(r) for r in rows.join(keyed, "k").collect()) and len(got) == 299
+
+
 def test_rows_for_a_threshold():
     for n in (0, 10, 10**5, 10**9):
         bits, tables = embedding_dedup.tables_for(n)

@@ -105,6 +105,12 @@ def test_packing_rows(spark, sf):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_ignores_other_columns_and_takes_long_texts(spark):
+    df = spark.createDataFrame([(1, "word " * 8999 + "word", 5, 6, "x")] * 2 + [(1, "", 5, 6, "x")], "doc_id long, text string, part int, r long, ids string")
+    rows = packing.pack(df).collect()
+    assert sum(r.length for r in rows) == 2 * 9001 + 1 and {r.doc_id for r in rows} == {1} and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
 def spliced(tmp_path, spec):
     """The model file with another normaliser."""
     with open(fst.model_path(), "rb") as f:
