@@ -27,8 +27,9 @@ PROBES = {
 }
 
 
-def probe_counts(docs: DataFrame, probes: dict[str, list[str]], labelled: Column) -> DataFrame:
-    """rule, form, hits, old: non-overlapping counts over all documents and over the labelled ones, in one pass."""
+def probe_counts(docs: DataFrame, probes: dict[str, list[str]] | None, labelled: Column) -> DataFrame:
+    """rule, form, hits, old: non-overlapping counts over all documents and over the labelled ones, in one pass. None: PROBES."""
+    probes = PROBES if probes is None else probes
     forms = sorted({f for fs in probes.values() for f in fs})
     n = {f: tx.count_nonoverlapping(F.col("text"), f) for f in forms}
     sums = [F.coalesce(F.sum(n[f]), F.lit(0)).alias(f"n{i}") for i, f in enumerate(forms)]

@@ -322,6 +322,14 @@ def calibrate_probes(spark, sf_dir):
     return _probed(spark, sf_dir)
 
 
+DEFAULT_ROWS = ", ".join(f"('{r}', '{f}')" for r, fs in calibrate.PROBES.items() for f in fs)
+
+
+@query(PROBE_COUNTS[1:-1].replace(PROBE_ROWS, DEFAULT_ROWS))
+def calibrate_default_probes(spark, sf_dir):
+    return calibrate.probe_counts(docs(spark, sf_dir), None, F.col("lang").isin("de", "es"))
+
+
 @query(f"select rule, hits, old_hits, round(r, 4) as old_ratio, cast(floor(r * 100) as bigint) as old_ratio_pct from {RATIOS}")
 def calibrate_rules(spark, sf_dir):
     return calibrate.rule_ratios(_probed(spark, sf_dir))
