@@ -487,20 +487,26 @@ def doc_of_position(spark, sf_dir):
     return index.doc_of_position(points, o)
 
 
-# The index columns of all texts, each text on its own. SQL would have to write out every suffix to sort them; where a result can be
-# had without that order it has SQL, the others are held against brute force by tests.
+# The index columns of all texts, each text on its own.
+
+# The SQL sorts suffixes by their first characters, and by the whole suffix only where these occur again in the same text.
+SUFFIXES = """
+cut as (select doc_id, row_number() over (order by doc_id) as t, text, unnest(range(1, length(text) + 2)) as pos from documents where text is not null),
+headed as (select doc_id, t, text, pos, substr(text, pos, 48) as head from cut),
+tied as (select doc_id, t, pos, head, if(pos = 1, '$', substr(text, pos - 1, 1)) as before, if(count(*) over (partition by t, head) > 1, substr(text, pos), null) as rest from headed),
+suffix as (select doc_id, t, pos, before, row_number() over (partition by t order by head, rest) - 1 as row from tied)"""
 
 
 def _texts(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", "text")
 
 
-@query()
+@query(f"with {SUFFIXES} select doc_id, row, pos from suffix")
 def suffix_array(spark, sf_dir):
     return index.whole_suffix_array(_texts(spark, sf_dir))
 
 
-@query()
+@query(f"with {SUFFIXES} select doc_id, string_agg(before, '' order by row) as bwt, max(if(pos = 1, row, null)) as primary_row from suffix group by doc_id, t")
 def bwt(spark, sf_dir):
     return index.whole_bwt(_texts(spark, sf_dir))
 
@@ -513,7 +519,7 @@ def c_table(spark, sf_dir):
     return index.whole_symbol_counts(_texts(spark, sf_dir))
 
 
-@query()
+@query(f"with {SUFFIXES} select doc_id, row, row_number() over (partition by t, if(pos = 1, null, before) order by row) - 1 as rank, coalesce(lag(row) over (partition by t order by pos), 0) as lf from suffix")
 def lf_mapping(spark, sf_dir):
     return index.whole_lf_mapping(_texts(spark, sf_dir))
 
@@ -538,17 +544,17 @@ def bwt_access(spark, sf_dir):
     return index.whole_access(_texts(spark, sf_dir), [0, 63, 64, 500, 4000])
 
 
-@query()
+@query(f"with {SUFFIXES} select doc_id, row, pos from suffix where row % {index.SAMPLE} = 0")
 def sa_sample(spark, sf_dir):
     return index.whole_suffix_array(_texts(spark, sf_dir), index.SAMPLE)
 
 
-@query()
+@query(f"with {SUFFIXES} select doc_id, pos - 1 as pos, row from suffix where (pos - 1) % {index.SAMPLE} = 0")
 def isa_sample(spark, sf_dir):
     return index.whole_isa_sample(_texts(spark, sf_dir))
 
 
-@query()
+@query(f"with {SUFFIXES}, near as (select doc_id, t, pos - coalesce(max(if(row % {index.SAMPLE} = 0, pos, null)) over (partition by t order by pos), 0) as steps from suffix) select doc_id, max(steps) as steps from near group by doc_id, t")
 def most_lf_steps(spark, sf_dir):
     return index.whole_most_steps(_texts(spark, sf_dir))
 
