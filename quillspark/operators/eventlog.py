@@ -55,9 +55,17 @@ def voids(rows: DataFrame) -> DataFrame:
 
 
 def effective(rows: DataFrame) -> DataFrame:
-    """Rows that count: no corrections, nothing voided."""
-    gone = voids(rows).where("problem is null").select("file", F.col("target").alias("line"))
-    return rows.where("event != 'correction'").join(gone, ["file", "line"], "left_anti")
+    """Rows that count: no corrections, nothing voided.
+
+    A correction is sent to the line it names as well, so rows and what is said of them meet in one shuffle of (file, line), and
+    the log is parsed once.
+    """
+    target = F.when(F.col("event") == "correction", field("supersedes").try_cast("long"))
+    own, claim = F.struct(F.col("line").alias("to"), F.lit(None).cast("long").alias("by")), F.struct(target.alias("to"), F.col("line").alias("by"))
+    sent = rows.withColumn("_at", F.explode(F.when(target.isNotNull(), F.array(own, claim)).otherwise(F.array(own))))
+    last = F.max("_at.by").over(Window.partitionBy("file", "_at.to"))
+    met = sent.withColumn("_last", last).where("_at.by is null and event != 'correction' and coalesce(_last <= line, true)")
+    return met.select(*rows.columns)
 
 
 def voided_counts(rows: DataFrame) -> DataFrame:
