@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import bits
 from quillspark.functions import text as tx
 from quillspark.functions.store import new_path
 from quillspark.operators import calibrate, eventlog, index, normalize, search, selection, variants
@@ -559,6 +560,18 @@ def most_lf_steps(spark, sf_dir):
     return index.whole_most_steps(_texts(spark, sf_dir))
 
 
+VOWELS = "aeiou"
+
+
+@query(f"""select doc_id, i, cast(length(regexp_replace(left(text, i), '[^{VOWELS}]', '', 'g')) as bigint) as ones, contains('{VOWELS}', substr(text, i + 1, 1)) as bit
+  from documents, (values (cast(0 as bigint)), (1), (63), (64), (65), (1000), (1023)) v(i) where i < length(text)""")
+def bit_ranks(spark, sf_dir):
+    places = F.array(*(F.lit(x).cast("long") for x in (0, 1, 63, 64, 65, 1000, 1023)))
+    packed = _texts(spark, sf_dir).select("doc_id", F.length("text").alias("n"), bits.packed(bits.bits_of(F.col("text"), VOWELS)).alias("words"))
+    at = lambda w: F.transform(F.filter(places, lambda i: i < F.col("n")), lambda i: F.struct(i.alias("i"), bits.rank1(w, i).alias("ones"), bits.bit_at(w, i).alias("bit")))
+    return packed.select("doc_id", F.inline(tx.let(F.col("words"), at)))
+
+
 HISTOGRAM = "(select cast(('0x' || h) as bigint) as byte, count(*) as n from (select unnest(regexp_extract_all(hex(encode(text)), '..')) as h from documents) group by 1)"
 
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillspark.functions import bits
 from quillspark.operators import index
 
 
@@ -141,3 +142,18 @@ def test_whole_texts_of_all_documents(spark, tmp_path):
         assert sorted(got["isa_sample"][i]) == [(p, at[p]) for p in range(0, len(order), 64)] and len(got["most_lf_steps"][i]) == 1
         assert sorted(got["bwt_access"][i]) == [(p, t[p]) for p in (0, 63, 64, 500, 4000) if p < len(t)]
         assert got["backward_search_count"][i] == [(sum(t.startswith("er", k) for k in range(len(t))),)]
+
+
+def test_bits_against_counting(spark):
+    r = random.Random(11)
+    texts = ["", "a", "0", "a" * 64, "b" * 64 + "a", None, *("".join(r.choice("abA01é😀\n$\\") for _ in range(r.choice([63, 64, 65, 128, 500]))) for _ in range(12))]
+    rows = [(k, t, i) for k, t in enumerate(texts) for i in range(0, len(t or "") + 1)]
+    for symbols in ("a", "0", "01é", "A\\😀$"):
+        df = spark.createDataFrame(rows, "k int, t string, i long").withColumn("w", bits.packed(bits.bits_of(F.col("t"), symbols)))
+        for x in df.select("t", "i", bits.rank1(F.col("w"), F.col("i")).alias("n"), bits.bit_at(F.col("w"), F.col("i")).alias("b")).collect():
+            if x.t is None:
+                assert x.n is None and x.b is None
+                continue
+            assert x.n == sum(c in symbols for c in x.t[: x.i])
+            if x.i < len(x.t):
+                assert x.b == (x.t[x.i] in symbols)
