@@ -2,13 +2,13 @@
 
 Equal vectors are one class from the start, so many copies are one row. Each class gets, in each of T tables, a bucket from the
 signs of b projections; b follows the logarithm of the number of classes, so buckets keep their size, and T is set so that a pair
-at the threshold shares no bucket with probability MISS. A bucket's rows meet in blocks of at most about BLOCK rows, twice:
+at the threshold shares no bucket with probability MISS. A bucket's rows meet in blocks of bounded size, twice:
 
-1. with a sketch of SKETCH further signs instead of the vector: rows without any other row whose sketch differs in at most as many
-   bits as a pair at the threshold can (but for probability 1e-9) leave that bucket;
-2. with the vectors of the rows that stay: a block multiplies its unit vectors in double precision and returns, for each row, the
-   number of vectors linked to it, and a spanning forest of the links - never the pairs. A pair that meets in several tables counts
-   in the first. Components run over the forests.
+1. in blocks of at most about SIFT_BLOCK rows, with a sketch of SKETCH further signs instead of the vector: rows without any other
+   row whose sketch differs in at most as many bits as a pair at the threshold can (but for probability 1e-9) leave that bucket;
+2. in blocks of at most about BLOCK rows, with the vectors of the rows that stay: a block multiplies its unit vectors in double
+   precision and returns, for each row, the number of vectors linked to it, and a spanning forest of the links - never the pairs.
+   A pair that meets in several tables counts in the first. Components run over the forests.
 
 So the vectors of rows that resemble no other travel once at most, whatever T is.
 
@@ -34,10 +34,11 @@ from .vectors import common_size, matrix, usable
 COSINE = 0.9
 #: Probability that a pair exactly at the threshold is missed.
 MISS = 1e-6
-#: Rows of a bucket that are compared as one block, and the bucket size that the number of bits aims at.
-BLOCK, BUCKET = 1024, 1536
+#: Rows of a bucket that meet as one block, as sketches and as vectors, and the bucket size that the number of bits aims at. A bucket
+#: of one block sends each row once; of n blocks, n times.
+SIFT_BLOCK, BLOCK, BUCKET = 2048, 1024, 1536
 SKETCH = 256
-#: Most buckets beyond BLOCK rows whose sizes are broadcast (16 bytes each); if there are more, they are joined by a shuffle.
+#: Most buckets beyond a block whose sizes are broadcast (16 bytes each); if there are more, they are joined by a shuffle.
 MOST_LARGE = 1 << 18
 _SEED = 7
 
@@ -95,14 +96,14 @@ def _block(t: int, x: int, y: int, blk: np.ndarray, c: np.ndarray, m: np.ndarray
     return total, root
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """rows (c, key, ...), a table, with the pairs of blocks (x_blk, y_blk) that they take part in, and their own block.
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """rows (c, key, ...) with the pairs of blocks (x_blk, y_blk) that they take part in, and their own block.
 
     Buckets of one block, the usual case, need no more than the left side of a join with the sizes of larger buckets.
     """
-    sizes = table(rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "large_buckets")
+    sizes = table(rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block), "large_buckets")
     sizes = F.broadcast(sizes) if sizes.count() <= MOST_LARGE else sizes
-    met = rows.join(sizes, "key", "left").withColumn("last", F.coalesce(((F.col("size") - 1) / BLOCK).cast("int"), F.lit(0))).drop("size")
+    met = rows.join(sizes, "key", "left").withColumn("last", F.coalesce(((F.col("size") - 1) / block).cast("int"), F.lit(0))).drop("size")
     met = met.withColumn("blk", F.pmod(F.xxhash64("c"), F.col("last") + 1).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     return met.withColumn("x_blk", F.least("blk", "other")).withColumn("y_blk", F.greatest("blk", "other")).drop("last", "other")
 
@@ -154,8 +155,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
 
     kinds = ", ".join(f"{w} long" for w in words)
     placed = classes.select("c", "v").mapInArrow(hashed, f"c long, key long, {kinds}")
-    active = table(_dealt(placed).groupBy("key", "x_blk", "y_blk").applyInArrow(sift, "c long, key long").distinct(), "alike")
-    found = _dealt(active).join(classes.select("c", "m", "v"), "c").groupBy("key", "x_blk", "y_blk").applyInArrow(compare, "u long, v long, w long")
+    active = table(_dealt(placed, SIFT_BLOCK).groupBy("key", "x_blk", "y_blk").applyInArrow(sift, "c long, key long").distinct(), "alike")
+    found = _dealt(active, BLOCK).join(classes.select("c", "m", "v"), "c").groupBy("key", "x_blk", "y_blk").applyInArrow(compare, "u long, v long, w long")
     found = table(found, "vector_links")
     linked = found.groupBy(F.col("u").alias("c")).agg(F.sum("w").alias("links"))
     roots = connected_components(found.select("u", "v"))

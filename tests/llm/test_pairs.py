@@ -145,6 +145,7 @@ def frame(spark, x, more=()):
 @pytest.mark.parametrize("block", [7, 1024])
 def test_embedding_links(spark, block, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "SIFT_BLOCK", block)
     x = vectors()
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     link = u @ u.T >= 0.9
