@@ -1,8 +1,9 @@
 """Embedding near-duplicates: sign hashing by random hyperplanes in several tables, exact cosines, connected components.
 
-Equal vectors are one class from the start, so many copies are one row. Each class gets, in each of T tables, a bucket from the
-signs of b projections; b follows the logarithm of the number of classes, so buckets keep their size, and T is set so that a pair
-at the threshold shares no bucket with probability MISS. A bucket's rows meet in blocks of bounded size, twice:
+Equal vectors (two 64-bit hashes with different seeds agree) are one class from the start, so many copies are one row. Each class
+gets, in each of T tables, a bucket from the signs of b projections; b follows the logarithm of the number of classes, so buckets
+keep their size, and T is set so that a pair at the threshold shares no bucket with probability MISS. A bucket's rows meet in blocks
+of bounded size, twice:
 
 1. in blocks of at most about SIFT_BLOCK rows, with a sketch of SKETCH further signs instead of the vector: rows without any other
    row whose sketch differs in at most as many bits as a pair at the threshold can (but for probability 1e-9) leave that bucket;
@@ -113,8 +114,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
     rows = numbered(vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")), "uid", "vectors")
     dim = common_size(rows, "v")
     total = rows.count()
-    ok = rows.where(usable(F.col("v")) & (F.size("v") == dim)).withColumn("h", F.xxhash64("v"))
-    classes = table(ok.groupBy("h", "v").agg(F.min("uid").alias("c"), F.count("*").alias("m")), "vector_classes")
+    ok = rows.where(usable(F.col("v")) & (F.size("v") == dim))
+    same = ok.select("uid", "vec_id", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(_SEED), "v").alias("b"))
+    sized = table(same.groupBy("a", "b").agg(F.min("uid").alias("c"), F.count("*").alias("m")), "class_sizes")
+    classes = table(sized.join(ok.select(F.col("uid").alias("c"), "v"), "c").select("c", "m", "v"), "vector_classes")
     bits, count = tables_for(classes.count(), cosine)
     limit, words = sketch_limit(cosine), [f"s{k}" for k in range(SKETCH // 64)]
 
@@ -160,9 +163,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, key: str = "vec_
     found = table(found, "vector_links")
     linked = found.groupBy(F.col("u").alias("c")).agg(F.sum("w").alias("links"))
     roots = connected_components(found.select("u", "v"))
-    of_class = classes.join(linked, "c", "left").join(roots.select(F.col("v").alias("_c"), "root"), F.col("c") == F.col("_c"), "left")
-    of_class = of_class.select("h", "v", "m", F.coalesce("root", "c").alias("root"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
-    rooted = skew_join(ok, of_class, ["h", "v"], "m", total).select("uid", "vec_id", "n", "root")
+    of_class = sized.join(linked, "c", "left").join(roots.select(F.col("v").alias("_c"), "root"), F.col("c") == F.col("_c"), "left")
+    of_class = of_class.select("a", "b", "m", F.coalesce("root", "c").alias("root"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
+    rooted = skew_join(same, of_class, ["a", "b"], "m", total).select("uid", "vec_id", "n", "root")
     alone = rows.where(~F.coalesce(usable(F.col("v")) & (F.size("v") == dim), F.lit(False)))
     alone = alone.select("uid", "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     rooted = table(rooted, "rooted")
