@@ -371,4 +371,4 @@ def redact(docs: DataFrame, model: dict | None = None, text: str = "text") -> Da
 def op2_pii(spark, sf_dir: str) -> DataFrame:
     df = find_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
-    return df.select("doc_id", *(count(k) for k in EXACT), F.sha2(span_list("base_spans"), 256).alias("base_sha256"), span_list("spans").alias("spans"))
+    return df.select("doc_id", *(count(k) for k in EXACT), F.sha2(span_list("base_spans"), 256).alias("base_sha256"), span_list("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
