@@ -164,8 +164,9 @@ def suffix_array_doubling(text: DataFrame) -> DataFrame:
 # Texts of any length, each on its own in one task: nothing is shuffled and no suffix is written out. Row 0 is the sentinel's. Null
 # texts have no rows; repeated ids are texts of their own.
 
-#: Rows of output after which a batch is passed on.
-BATCH = 1 << 18
+#: Bytes of output after which a batch is passed on: few rows may hold long strings, and many short ones hold little. A text's
+#: columns count as PART bytes besides their own.
+BATCH, PART = 1 << 23, 1 << 10
 
 
 def suffix_order(codes: np.ndarray) -> np.ndarray:
@@ -286,7 +287,7 @@ def _whole(texts: DataFrame, make: Callable[[LastColumn], list], schema: str, ke
             for i, t in zip(b.column(0), b.column(1), strict=True):
                 made = [pa.array(x, k) for x, k in zip(make(LastColumn(t.as_py())), kinds[1:], strict=True)]
                 parts.append([pa.repeat(i, len(made[0])), *made])
-                size += len(made[0])
+                size += PART + sum(x.nbytes for x in parts[-1])
                 if size >= BATCH:
                     yield batch()
                     parts, size = [], 0
@@ -309,7 +310,8 @@ def whole_bwt(texts: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """key, bwt ($ for the sentinel), primary_row (the sentinel's)."""
 
     def make(x: LastColumn) -> list:
-        return [["".join(map(["$", *x.symbols[1:]].__getitem__, x.bwt.tolist()))], [int(np.flatnonzero(x.bwt == 0)[0])]]
+        codes = np.array([ord(s or "$") for s in x.symbols], np.uint32)[x.bwt]
+        return [[codes.astype("<u4").tobytes().decode("utf-32-le")], [int(np.flatnonzero(x.bwt == 0)[0])]]
 
     return _whole(texts, make, "bwt string, primary_row long", key, text)
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark.functions import bits
@@ -144,6 +145,31 @@ def test_whole_texts_of_all_documents(spark, tmp_path):
         assert got["backward_search_count"][i] == [(sum(t.startswith("er", k) for k in range(len(t))),)]
 
 
+class Mapped:
+    """Stands for a table: mapInArrow gives the function that runs in a task."""
+
+    where = select = lambda self, *a: self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_long_strings_are_passed_on_by_their_bytes(spark):
+    """A task holds a few MB of output, however few rows that is: 60 texts of half a million characters."""
+    text, taken = "ab" * 250_000, []
+
+    def batches():
+        for i in range(60):
+            taken.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([text])], ["doc_id", "text"])
+
+    rows = 0
+    for b in index.whole_bwt(Mapped())(batches()):
+        assert b.nbytes < index.BATCH + 2 * len(text) and (len(taken) - rows) * len(text) < index.BATCH + 2 * len(text)
+        rows += b.num_rows
+    assert rows == 60
+
+
 def test_bits_against_counting(spark):
     r = random.Random(11)
     texts = ["", "a", "0", "a" * 64, "b" * 64 + "a", None, *("".join(r.choice("abA01é😀\n$\\") for _ in range(r.choice([63, 64, 65, 128, 500]))) for _ in range(12))]
