@@ -460,14 +460,17 @@ def prunable(sets: DataFrame, pattern: str) -> DataFrame:
     return sets.select("grp", (F.size(F.array_except(need, "symbols")) > 0).alias("skipped"))
 
 
-#: Files of a gram index, by the grams' hashes.
+#: Folders of a gram index, by the grams' hashes.
 GRAM_BUCKETS = 32
+#: Bytes of text whose grams make a file of it.
+GRAM_BYTES = 1 << 24
 
 
 def gram_index(docs: DataFrame, n: int = 3, key: str = "doc_id") -> DataFrame:
     """gram, bucket, key: the distinct n-character grams of each text, as a written table with a folder for each bucket of grams,
-    sorted by gram there. Build it once, look words up in it often: a lookup reads the buckets of its grams, and of these the row
-    groups that may hold them."""
+    sorted by gram in each of its files. Build it once, look words up in it often: a lookup reads the buckets of its grams, and of
+    these the row groups that may hold them. A task writes one file. There are more files to a bucket as there is more text, and the
+    documents of one gram are dealt to all of them, so that neither more text nor a gram in every document makes a task larger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -482,7 +485,10 @@ def gram_index(docs: DataFrame, n: int = 3, key: str = "doc_id") -> DataFrame:
 
     grams = docs.select(F.col(key).cast("long").alias(key), "text").mapInArrow(run, f"{key} long, gram string")
     bucketed = grams.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(GRAM_BUCKETS)).cast("int"))
-    return table(bucketed.repartition(GRAM_BUCKETS, "bucket").sortWithinPartitions("bucket", "gram"), "grams", "bucket")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    files = max(1, math.ceil(size / GRAM_BYTES / GRAM_BUCKETS))
+    at = F.col("bucket") * files + F.pmod(F.xxhash64("gram", key), F.lit(files)).cast("int")
+    return table(bucketed.repartitionById(GRAM_BUCKETS * files, at).sortWithinPartitions("bucket", "gram"), "grams", "bucket")
 
 
 def gram_candidates(grams: DataFrame, pattern: str, n: int = 3, key: str = "doc_id") -> DataFrame:

@@ -1,3 +1,4 @@
+import collections
 import random
 
 import numpy as np
@@ -113,6 +114,21 @@ def test_gram_index_finds_all(spark, sf):
         assert {r.doc_id for r in d.where(F.contains("text", F.lit(p))).collect()} <= found
 
 
+def test_gram_index_files_stay_small(spark, monkeypatch):
+    """More text makes more files, not larger ones, also for grams that all documents hold."""
+    monkeypatch.setattr(index, "GRAM_BYTES", 1 << 10, raising=False)
+    r = random.Random(3)
+    texts = {i: "the same " + "".join(r.choice("abcdé ") for _ in range(r.randint(0, 300))) for i in range(900)} | {900: "", 901: None, 902: "ab"}
+    grams = index.gram_index(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    rows = grams.select("doc_id", "gram", "bucket", F.input_file_name().alias("file")).collect()
+    assert sorted((x.doc_id, x.gram) for x in rows) == sorted({(i, t[k : k + 3]) for i, t in texts.items() if t for k in range(len(t) - 2)})
+    sizes = collections.Counter(x.file for x in rows)
+    assert max(sizes.values()) < 1500 < len(rows) / 32
+    assert len({(x.gram, x.bucket) for x in rows}) == len({x.gram for x in rows})
+    for p in ("the", "same", "ab", "dé a"):
+        assert {x.doc_id for x in index.gram_candidates(grams, p).collect()} >= {i for i, t in texts.items() if len(p) > 2 and p in (t or "")}
+
+
 def test_whole_texts_of_all_documents(spark, tmp_path):
     """Long texts and high ids against brute force: nothing is cut at 120 characters or at doc_id 60."""
     from quillspark.plans import catalog
