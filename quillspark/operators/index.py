@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -161,42 +162,70 @@ def suffix_array_doubling(text: DataFrame) -> DataFrame:
 
 
 # --- whole texts ----------------------------------------------------------------------------------------------------------
-# Texts of any length, each on its own in one task: nothing is shuffled and no suffix is written out. Row 0 is the sentinel's. Null
-# texts have no rows; repeated ids are texts of their own.
+# Texts of any length, each on its own in one task: texts are dealt to even tasks, and no suffix is written out. Row 0 is the
+# sentinel's. Null texts have no rows; repeated ids are texts of their own.
+
+#: Bytes of text of a task. Its output is many times that, so tasks as large as the input's files leave cores idle at the end.
+TASK_BYTES = 1 << 23
 
 #: Bytes of output after which a batch is passed on: few rows may hold long strings, and many short ones hold little. A text's
 #: columns count as PART bytes besides their own.
 BATCH, PART = 1 << 23, 1 << 10
 
 
-def suffix_order(codes: np.ndarray) -> np.ndarray:
-    """Places from 0 (the last is the sentinel's) of all suffixes of code points, in order.
+def numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct code points in order, and the number of each code point of the text among them."""
+    top = int(codes.max()) + 1 if len(codes) else 0
+    if top > 4 * len(codes) + (1 << 16):
+        return np.unique(codes, return_inverse=True)
+    place = np.zeros(top, np.int64)
+    place[codes] = 1
+    symbols = np.flatnonzero(place)
+    place[symbols] = np.arange(len(symbols))
+    return symbols, place[codes]
+
+
+def _ordered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of so many bits in order, and where each was. Key and place are sorted as one number where both fit, which is faster."""
+    low = max(1, (len(key) - 1).bit_length())
+    if bits + low > 63:
+        order = np.argsort(key)
+        return key[order], order
+    both = key << low | np.arange(len(key))
+    both.sort()
+    return both >> low, both & ((1 << low) - 1)
+
 
-    Prefix doubling: a first sort by as many symbols as fit in 62 bits, then only suffixes that still share a rank are sorted, by
-    their rank and that of the suffix `step` further on. A shared rank means `step` equal symbols, so that one exists.
+def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places from 0 (the last is the sentinel's) of all suffixes of code points, in order; and the row of each place.
+
+    Prefix doubling: a first sort by as many symbols as fit in a number beside a place, then only suffixes that still share a rank are
+    sorted, by their rank and that of the suffix `step` further on. A shared rank means `step` equal symbols, so that one exists.
     """
-    symbols, dense = np.unique(codes, return_inverse=True)
+    symbols, dense = numbered(codes)
     n, bits = len(codes) + 1, max(1, len(symbols).bit_length())
-    step = 62 // bits
+    wide = max(1, (n - 1).bit_length())
+    step = max(1, (63 - wide) // bits)
     padded = np.zeros(n + step, np.int64)
     padded[: n - 1] = dense + 1
     key = np.zeros(n, np.int64)
     for k in range(step):
-        key = key << bits | padded[k : k + n]
-    order = np.argsort(key)
-    rank, open_ = np.empty(n, np.int64), np.arange(n)
-    key = key[order]
+        key <<= bits
+        key |= padded[k : k + n]
+    key, order = _ordered(key, bits * step)
+    rank, open_, at = np.empty(n, np.int64), np.arange(n), order
     while True:
-        at = order[open_]
-        fresh = np.concatenate([[True], key[1:] != key[:-1]])
-        rank[at] = open_[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        open_ = open_[~(fresh & np.concatenate([fresh[1:], [True]]))]
+        fresh = np.ones(len(key) + 1, bool)
+        np.not_equal(key[1:], key[:-1], out=fresh[1:-1])
+        first = np.flatnonzero(fresh)
+        rank[at] = np.repeat(open_[first[:-1]], np.diff(first))
+        left = ~(fresh[:-1] & fresh[1:])
+        open_, at = open_[left], at[left]
         if not len(open_):
-            return order
-        at = order[open_]
-        key = rank[at] * n + rank[at + step]
-        by = np.argsort(key)
-        order[open_], key = at[by], key[by]
+            return order, rank
+        key, by = _ordered(rank[at] * n + rank[at + step], 2 * wide)
+        at = at[by]
+        order[open_] = at
         step *= 2
 
 
@@ -204,24 +233,37 @@ class LastColumn:
     """The suffix order of a text and its last column: symbols (the first, empty, is the sentinel), bwt as their numbers, c."""
 
     def __init__(self, text: str):
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        found, dense = np.unique(codes, return_inverse=True)
-        self.symbols = ["", *map(chr, found.tolist())]
-        self.order = suffix_order(codes)
-        self.bwt = np.concatenate([[0], dense + 1])[self.order]
-        self.n = np.bincount(self.bwt, minlength=len(self.symbols))
-        self.c = np.cumsum(self.n) - self.n
+        self.codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        self.order, self.row = suffix_order(self.codes)
+
+    @cached_property
+    def _numbered(self) -> tuple[list[str], np.ndarray]:
+        found, dense = numbered(self.codes)
+        return ["", *map(chr, found.tolist())], np.concatenate([[0], dense + 1])[self.order]
+
+    @property
+    def symbols(self) -> list[str]:
+        return self._numbered[0]
+
+    @property
+    def bwt(self) -> np.ndarray:
+        return self._numbered[1]
+
+    @cached_property
+    def n(self) -> np.ndarray:
+        return np.bincount(self.bwt, minlength=len(self.symbols))
+
+    @cached_property
+    def c(self) -> np.ndarray:
+        return np.cumsum(self.n) - self.n
 
     def lf(self) -> np.ndarray:
-        out = np.empty(len(self.bwt), np.int64)
-        out[np.argsort(self.bwt, kind="stable")] = np.arange(len(out))
-        return out
+        """The row of the suffix that begins one place earlier; the whole text's leads to the sentinel's."""
+        return self.row[self.order - 1]
 
     def rows_of(self) -> np.ndarray:
         """The row of each place (the inverse of order)."""
-        out = np.empty(len(self.order), np.int64)
-        out[self.order] = np.arange(len(out))
-        return out
+        return self.row
 
     def range_of(self, pattern: str) -> tuple[int, int]:
         """The rows whose suffixes begin with the pattern, from its last symbol to its first; the empty pattern: none."""
@@ -275,7 +317,8 @@ class LastColumn:
 def _whole(texts: DataFrame, make: Callable[[LastColumn], list], schema: str, key: str, text: str) -> DataFrame:
     """key and the columns of schema: make gives arrays of one length for a text."""
     names = [key, *(x.split()[0] for x in schema.split(", "))]
-    kinds = [pa.int64(), *(pa.string() if x.endswith("string") else pa.int64() for x in schema.split(", "))]
+    of = {"string": pa.string(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+    kinds = [of[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -285,7 +328,7 @@ def _whole(texts: DataFrame, make: Callable[[LastColumn], list], schema: str, ke
 
         for b in batches:
             for i, t in zip(b.column(0), b.column(1), strict=True):
-                made = [pa.array(x, k) for x, k in zip(make(LastColumn(t.as_py())), kinds[1:], strict=True)]
+                made = [pa.array(x, k) for x, k in zip(make(LastColumn(t.as_py())), kinds, strict=True)]
                 parts.append([pa.repeat(i, len(made[0])), *made])
                 size += PART + sum(x.nbytes for x in parts[-1])
                 if size >= BATCH:
@@ -294,16 +337,36 @@ def _whole(texts: DataFrame, make: Callable[[LastColumn], list], schema: str, ke
         if parts:
             yield batch()
 
-    return texts.where(F.col(text).isNotNull()).select(F.col(key).cast("long"), text).mapInArrow(run, f"{key} long, {schema}")
+    found = texts.where(F.col(text).isNotNull()).select(F.col(key).cast("long"), text)
+    size = found.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
+    return found.repartition(max(1, math.ceil(size / TASK_BYTES))).mapInArrow(run, f"{key} long, {schema}")
 
 
-def whole_suffix_array(texts: DataFrame, step: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, row (0: the sentinel), pos (1-based characters) of every step-th row of the suffix order of each text."""
+#: Rows of output that pass to Spark as one array.
+PIECE = 1 << 10
 
-    def make(x: LastColumn) -> list:
-        return [np.arange(0, len(x.order), step), x.order[::step] + 1]
 
-    return _whole(texts, make, "row long, pos long", key, text)
+def _whole_rows(texts: DataFrame, make: Callable[[LastColumn], np.ndarray], key: str, text: str) -> DataFrame:
+    """key, k, x: the k-th number that make gives for a text.
+
+    Numbers pass from Python in arrays of at most PIECE, which Spark's compiled code spreads to rows: a row of its own for each costs
+    more than its number's computation.
+    """
+
+    def pieces(x: LastColumn) -> list:
+        values = make(x)
+        begin = np.arange(0, len(values), PIECE)
+        ends = np.append(begin, len(values)).astype(np.int32)
+        return [begin, pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))]
+
+    whole = _whole(texts, pieces, "begin long, xs array<long>", key, text)
+    return whole.select(key, "begin", F.posexplode("xs").alias("k", "x")).select(key, (F.col("begin") + F.col("k")).alias("k"), "x")
+
+
+def whole_suffix_array(texts: DataFrame, step: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, row (0: the sentinel), pos (1-based characters) of every step-th row of the suffix order of each text."""
+    rows = _whole_rows(texts, lambda x: x.order[::step], key, text)
+    return rows.select(key, (F.col("k") * step).alias("row"), (F.col("x") + 1).alias("pos"))
 
 
 def whole_bwt(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -321,13 +384,14 @@ def whole_symbol_counts(texts: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def whole_lf_mapping(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, row, rank, lf as in lf_mapping."""
+    """key, row, rank, lf as in lf_mapping. Both are less than 2^31, as a text has fewer bytes, and pass as one number."""
 
-    def make(x: LastColumn) -> list:
+    def make(x: LastColumn) -> np.ndarray:
         lf = x.lf()
-        return [np.arange(len(lf)), lf - x.c[x.bwt], lf]
+        return (lf - x.c[x.bwt]) << 32 | lf
 
-    return _whole(texts, make, "row long, rank long, lf long", key, text)
+    rows = _whole_rows(texts, make, key, text)
+    return rows.select(key, F.col("k").alias("row"), F.shiftright("x", 32).alias("rank"), F.col("x").bitwiseAND(F.lit((1 << 32) - 1)).alias("lf"))
 
 
 def whole_inverse_bwt(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -357,11 +421,8 @@ def whole_access(texts: DataFrame, at: list[int], key: str = "doc_id", text: str
 
 def whole_isa_sample(texts: DataFrame, step: int = SAMPLE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, pos (from 0, every step-th), row."""
-
-    def make(x: LastColumn) -> list:
-        return [np.arange(0, len(x.order), step), x.rows_of()[::step]]
-
-    return _whole(texts, make, "pos long, row long", key, text)
+    rows = _whole_rows(texts, lambda x: x.row[::step], key, text)
+    return rows.select(key, (F.col("k") * step).alias("pos"), F.col("x").alias("row"))
 
 
 def whole_most_steps(texts: DataFrame, step: int = SAMPLE, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -164,12 +164,34 @@ def test_whole_texts_of_all_documents(spark, tmp_path):
 class Mapped:
     """Stands for a table: mapInArrow gives the function that runs in a task."""
 
-    where = select = lambda self, *a: self
+    where = select = agg = repartition = lambda self, *a: self
+    n = 0
+
+    def first(self):
+        return self
 
     def mapInArrow(self, run, schema):
         return run
 
 
+class Arrays(Mapped):
+    """Gives the function itself, whatever columns are made of its rows afterwards."""
+
+    def mapInArrow(self, run, schema):
+        return Given(run)
+
+
+class Given:
+    def __init__(self, run):
+        self.run = run
+
+    def select(self, *a):
+        return self
+
+    def __call__(self, batches):
+        return self.run(batches)
+
+
 def test_long_strings_are_passed_on_by_their_bytes(spark):
     """A task holds a few MB of output, however few rows that is: 60 texts of half a million characters."""
     text, taken = "ab" * 250_000, []
@@ -186,6 +208,43 @@ def test_long_strings_are_passed_on_by_their_bytes(spark):
     assert rows == 60
 
 
+def test_index_columns_are_computed_in_even_tasks(spark, monkeypatch):
+    """One partition of texts becomes tasks of TASK_BYTES, so that no core waits for the task of a large file."""
+    monkeypatch.setattr(index, "TASK_BYTES", 1 << 12, raising=False)
+    r = random.Random(5)
+    texts = {i: "".join(r.choice("abc é") for _ in range(r.randint(0, 600))) for i in range(200)} | {200: "", 201: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    for made in (index.whole_suffix_array(df), index.whole_lf_mapping(df)):
+        sizes = [x["count"] for x in made.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == sum(len(t) + 1 for t in texts.values() if t is not None)
+        assert len(sizes) > 8 and max(sizes) < 3 * sum(sizes) / len(sizes)
+
+
+def test_index_rows_pass_from_python_in_arrays(spark):
+    """A number of output is no row of its own on the way from Python: 600,000 numbers are a few hundred rows, none long."""
+    text = "abc" * 200_000
+    given = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([text])], ["doc_id", "text"])
+    for whole in (index.whole_suffix_array, index.whole_lf_mapping, index.whole_isa_sample):
+        step = 64 if whole is index.whole_isa_sample else 1
+        out = list(whole(Arrays())(iter([given])))
+        assert sum(b.num_rows for b in out) == -(-(len(text) // step + 1) // index.PIECE)
+        assert max(len(x) for b in out for x in b.column(2)) <= index.PIECE
+
+
+def test_suffix_order_of_other_widths():
+    """Keys that leave no room for a place beside them, symbols far apart, repeats of all lengths."""
+    r = random.Random(8)
+    texts = ["", "a", "\U0010ffff", "a\U0010ffff" * 40, "x" * 3000, "".join(map(chr, range(200, 40_000, 7))) * 2, "ab" * 1500 + "b"]
+    texts += ["".join(r.choice("ab\n 😀é"[: r.randint(1, 7)]) for _ in range(r.randint(1, 700))) for _ in range(150)]
+    for t in texts:
+        order, row = index.suffix_order(np.array([ord(c) for c in t], np.uint32))
+        assert order.tolist() == sorted(range(len(t) + 1), key=lambda i: t[i:]) and row[order].tolist() == list(range(len(t) + 1))
+    key = np.array([r.randrange(1 << 62) for _ in range(500)])
+    for bits in (62, 40):
+        k, by = index._ordered(key >> 62 - bits, bits)
+        assert k.tolist() == sorted((key >> 62 - bits).tolist()) and (k == (key >> 62 - bits)[by]).all()
+
+
 def test_bits_against_counting(spark):
     r = random.Random(11)
     texts = ["", "a", "0", "a" * 64, "b" * 64 + "a", None, *("".join(r.choice("abA01é😀\n$\\") for _ in range(r.choice([63, 64, 65, 128, 500]))) for _ in range(12))]
