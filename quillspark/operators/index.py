@@ -197,44 +197,68 @@ def _ordered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_order(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places from 0 (the last is the sentinel's) of all suffixes of code points, in order; and the row of each place.
+    """Places from 0 (the last is the sentinel's) of all suffixes of code points, in order; and the row of each place."""
+    return suffix_orders(np.append(codes + np.uint32(1), np.uint32(0)), np.array([len(codes) + 1]))
 
-    Prefix doubling: a first sort by as many symbols as fit in a number beside a place, then only suffixes that still share a rank are
-    sorted, by their rank and that of the suffix `step` further on. A shared rank means `step` equal symbols, so that one exists.
+
+def suffix_orders(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """suffix_order of texts one after another, each from 0. codes: code points + 1, and 0, the sentinel, after each text; sizes: with it.
+
+    Prefix doubling: a first sort by the text's number and as many symbols as fit in a number beside a place, then only suffixes that
+    still share a rank are sorted, by their rank and that of the suffix `step` further on. No two suffixes of a text have their
+    sentinel at one distance, so what stands after it decides nothing, and a shared rank means `step` equal symbols of the text.
     """
     symbols, dense = numbered(codes)
-    n, bits = len(codes) + 1, max(1, len(symbols).bit_length())
+    n, bits, begin = len(codes), max(1, (len(symbols) - 1).bit_length()), np.cumsum(sizes) - sizes
     wide = max(1, (n - 1).bit_length())
-    step = max(1, (63 - wide) // bits)
-    padded = np.zeros(n + step, np.int64)
-    padded[: n - 1] = dense + 1
-    key = np.zeros(n, np.int64)
-    for k in range(step):
-        key <<= bits
-        key |= padded[k : k + n]
-    key, order = _ordered(key, bits * step)
-    rank, open_, at = np.empty(n, np.int64), np.arange(n), order
+    step = max(1, (63 - wide - (len(sizes) - 1).bit_length()) // bits)
+    one = np.zeros(n + step - 1, np.int64)
+    one[:n] = dense
+    key, k = one, 1  # of k symbols; twice as many, or one more, at a time
+    for more in f"{step:b}"[1:]:
+        twice = key[:-k] << k * bits
+        twice |= key[k:]
+        key, k = twice, 2 * k
+        if more == "1":
+            key = key[:-1] << bits
+            key |= one[k : k + len(key)]
+            k += 1
+    both = np.arange(n)
+    if len(sizes) > 1:
+        both |= np.repeat(np.arange(len(sizes)) << bits * step + wide, sizes)
+    both |= key << wide
+    both.sort()
+    order, rank = both & ((1 << wide) - 1), np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    fresh = np.ones(n + 1, bool)
+    np.greater_equal(both[1:] ^ both[:-1], 1 << wide, out=fresh[1:-1])
+    open_, at = np.arange(n), order
     while True:
-        fresh = np.ones(len(key) + 1, bool)
-        np.not_equal(key[1:], key[:-1], out=fresh[1:-1])
-        first = np.flatnonzero(fresh)
-        rank[at] = np.repeat(open_[first[:-1]], np.diff(first))
-        left = ~(fresh[:-1] & fresh[1:])
+        left = np.flatnonzero(~(fresh[:-1] & fresh[1:]))
+        if not len(left):
+            break
         open_, at = open_[left], at[left]
-        if not len(open_):
-            return order, rank
-        key, by = _ordered(rank[at] * n + rank[at + step], 2 * wide)
+        first = np.flatnonzero(fresh[left])
+        rank[at] = np.repeat(open_[first], np.diff(first, append=len(left)))
+        key, by = _ordered(rank[at] << wide | rank[at + step], 2 * wide)
         at = at[by]
-        order[open_] = at
+        order[open_], rank[at] = at, open_
+        fresh = np.ones(len(key) + 1, bool)
+        np.not_equal(key[1:], key[:-1], out=fresh[1:-1])
         step *= 2
+    if len(sizes) > 1:
+        before = np.repeat(begin, sizes)
+        order -= before
+        rank -= before
+    return order, rank
 
 
 class LastColumn:
     """The suffix order of a text and its last column: symbols (the first, empty, is the sentinel), bwt as their numbers, c."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, ordered: tuple[np.ndarray, np.ndarray] | None = None):
         self.codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        self.order, self.row = suffix_order(self.codes)
+        self.order, self.row = ordered or suffix_order(self.codes)
 
     @cached_property
     def _numbered(self) -> tuple[list[str], np.ndarray]:
@@ -314,11 +338,40 @@ class LastColumn:
         return hi - lo
 
 
-def _whole(texts: DataFrame, make: Callable[[LastColumn], list], schema: str, key: str, text: str) -> DataFrame:
-    """key and the columns of schema: make gives arrays of one length for a text."""
+#: Characters of the texts whose suffixes are ordered together: for a short text, numpy's calls cost more than their work.
+TOGETHER = 1 << 15
+
+
+class _Orders:
+    """The suffix orders of texts, one after another; sizes: rows of each."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.sizes = texts, np.array([len(t) + 1 for t in texts])
+        codes = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), np.uint32) + np.uint32(1)
+        codes[np.cumsum(self.sizes) - 1] = 0
+        self.order, self.row = suffix_orders(codes, self.sizes)
+
+    def columns(self) -> Iterator[LastColumn]:
+        for t, size, end in zip(self.texts, self.sizes.tolist(), np.cumsum(self.sizes).tolist(), strict=True):
+            yield LastColumn(t, (self.order[end - size : end], self.row[end - size : end]))
+
+
+def _together(texts: DataFrame, make: Callable[[pa.Array, _Orders], Iterator[list[pa.Array]]], schema: str, key: str, text: str) -> DataFrame:
+    """key and the columns of schema: make gives them, key's first, in parts for some texts with these keys."""
     names = [key, *(x.split()[0] for x in schema.split(", "))]
-    of = {"string": pa.string(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
-    kinds = [of[x.split()[1]] for x in schema.split(", ")]
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+        ids, found, size = [], [], 0
+        for b in batches:
+            for i, t in zip(b.column(0), b.column(1), strict=True):
+                ids.append(i.as_py())
+                found.append(t.as_py())
+                size += len(found[-1]) + 1
+                if size >= TOGETHER:
+                    yield from make(pa.array(ids, pa.int64()), _Orders(found))
+                    ids, found, size = [], [], 0
+        if found:
+            yield from make(pa.array(ids, pa.int64()), _Orders(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -326,14 +379,12 @@ def _whole(texts: DataFrame, make: Callable[[LastColumn], list], schema: str, ke
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], names)
 
-        for b in batches:
-            for i, t in zip(b.column(0), b.column(1), strict=True):
-                made = [pa.array(x, k) for x, k in zip(make(LastColumn(t.as_py())), kinds, strict=True)]
-                parts.append([pa.repeat(i, len(made[0])), *made])
-                size += PART + sum(x.nbytes for x in parts[-1])
-                if size >= BATCH:
-                    yield batch()
-                    parts, size = [], 0
+        for made in groups(batches):
+            parts.append(made)
+            size += PART + sum(x.nbytes for x in made)
+            if size >= BATCH:
+                yield batch()
+                parts, size = [], 0
         if parts:
             yield batch()
 
@@ -342,31 +393,49 @@ def _whole(texts: DataFrame, make: Callable[[LastColumn], list], schema: str, ke
     return found.repartition(max(1, math.ceil(size / TASK_BYTES))).mapInArrow(run, f"{key} long, {schema}")
 
 
-#: Rows of output that pass to Spark as one array.
-PIECE = 1 << 10
+def _whole(texts: DataFrame, make: Callable[[LastColumn], list], schema: str, key: str, text: str) -> DataFrame:
+    """key and the columns of schema: make gives arrays of one length for a text."""
+    kinds = [{"string": pa.string(), "long": pa.int64()}[x.split()[1]] for x in schema.split(", ")]
+
+    def parts(ids: pa.Array, orders: _Orders) -> Iterator[list[pa.Array]]:
+        for i, x in zip(ids, orders.columns(), strict=True):
+            made = [pa.array(c, k) for c, k in zip(make(x), kinds, strict=True)]
+            yield [pa.repeat(i, len(made[0])), *made]
+
+    return _together(texts, parts, schema, key, text)
+
+
+#: Rows of output that pass to Spark as one array. Spark holds copies of an array's rows until the last one is read.
+PIECE = 1 << 7
 
 
-def _whole_rows(texts: DataFrame, make: Callable[[LastColumn], np.ndarray], key: str, text: str) -> DataFrame:
-    """key, k, x: the k-th number that make gives for a text.
+def _whole_rows(texts: DataFrame, make: Callable[[_Orders], np.ndarray], key: str, text: str, step: int = 1, kind: str = "int") -> DataFrame:
+    """key, k, x: every step-th of the numbers, 0, step, ..., that make gives for the rows of a text.
 
     Numbers pass from Python in arrays of at most PIECE, which Spark's compiled code spreads to rows: a row of its own for each costs
-    more than its number's computation.
+    more than its number's computation. Those of one text are less than 2^31, as it has fewer bytes.
     """
+    of = {"int": np.int32, "long": np.int64}[kind]
 
-    def pieces(x: LastColumn) -> list:
-        values = make(x)
-        begin = np.arange(0, len(values), PIECE)
-        ends = np.append(begin, len(values)).astype(np.int32)
-        return [begin, pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))]
+    def parts(ids: pa.Array, orders: _Orders) -> Iterator[list[pa.Array]]:
+        values, sizes = make(orders), -(-orders.sizes // step)
+        if step > 1:
+            ends = np.cumsum(orders.sizes).tolist()
+            values = np.concatenate([values[e - n : e : step] for e, n in zip(ends, orders.sizes.tolist(), strict=True)])
+        pieces = -(-sizes // PIECE)
+        whose = np.repeat(np.arange(len(sizes)), pieces)
+        begin = (np.arange(len(whose)) - (np.cumsum(pieces) - pieces)[whose]) * PIECE
+        ends = np.concatenate([[0], np.cumsum(np.minimum(PIECE, sizes[whose] - begin))])
+        yield [ids.take(pa.array(whose)), pa.array(begin * step), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.astype(of, copy=False)))]
 
-    whole = _whole(texts, pieces, "begin long, xs array<long>", key, text)
-    return whole.select(key, "begin", F.posexplode("xs").alias("k", "x")).select(key, (F.col("begin") + F.col("k")).alias("k"), "x")
+    whole = _together(texts, parts, f"begin long, xs array<{kind}>", key, text)
+    rows = whole.select(key, "begin", F.posexplode("xs").alias("k", "x"))
+    return rows.select(key, (F.col("begin") + (F.col("k") * step if step > 1 else F.col("k"))).alias("k"), F.col("x").cast("long").alias("x"))
 
 
 def whole_suffix_array(texts: DataFrame, step: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, row (0: the sentinel), pos (1-based characters) of every step-th row of the suffix order of each text."""
-    rows = _whole_rows(texts, lambda x: x.order[::step], key, text)
-    return rows.select(key, (F.col("k") * step).alias("row"), (F.col("x") + 1).alias("pos"))
+    return _whole_rows(texts, lambda x: x.order + 1, key, text, step).select(key, F.col("k").alias("row"), F.col("x").alias("pos"))
 
 
 def whole_bwt(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -386,11 +455,14 @@ def whole_symbol_counts(texts: DataFrame, key: str = "doc_id", text: str = "text
 def whole_lf_mapping(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, row, rank, lf as in lf_mapping. Both are less than 2^31, as a text has fewer bytes, and pass as one number."""
 
-    def make(x: LastColumn) -> np.ndarray:
-        lf = x.lf()
-        return (lf - x.c[x.bwt]) << 32 | lf
+    def make(x: _Orders) -> np.ndarray:
+        made = []
+        for c in x.columns():
+            lf = c.lf()
+            made.append((lf - c.c[c.bwt]) << 32 | lf)
+        return np.concatenate(made)
 
-    rows = _whole_rows(texts, make, key, text)
+    rows = _whole_rows(texts, make, key, text, kind="long")
     return rows.select(key, F.col("k").alias("row"), F.shiftright("x", 32).alias("rank"), F.col("x").bitwiseAND(F.lit((1 << 32) - 1)).alias("lf"))
 
 
@@ -421,8 +493,7 @@ def whole_access(texts: DataFrame, at: list[int], key: str = "doc_id", text: str
 
 def whole_isa_sample(texts: DataFrame, step: int = SAMPLE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, pos (from 0, every step-th), row."""
-    rows = _whole_rows(texts, lambda x: x.row[::step], key, text)
-    return rows.select(key, (F.col("k") * step).alias("pos"), F.col("x").alias("row"))
+    return _whole_rows(texts, lambda x: x.row, key, text, step).select(key, F.col("k").alias("pos"), F.col("x").alias("row"))
 
 
 def whole_most_steps(texts: DataFrame, step: int = SAMPLE, key: str = "doc_id", text: str = "text") -> DataFrame:

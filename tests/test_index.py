@@ -245,6 +245,49 @@ def test_suffix_order_of_other_widths():
         assert k.tolist() == sorted((key >> 62 - bits).tolist()) and (k == (key >> 62 - bits)[by]).all()
 
 
+def test_short_texts_are_ordered_together(spark, monkeypatch):
+    """2,000 short texts are a few sorts, not one or more for each; what stands in one decides nothing in the next."""
+    r, calls = random.Random(12), []
+    texts = ["".join(r.choice("ab\n\0 😀é\U0010ffff"[: r.randint(1, 8)]) for _ in range(r.choice([0, 1, 3, 30]))) for _ in range(2000)]
+    given = pa.RecordBatch.from_arrays([pa.array([None, *range(1, 2000)], pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    orders = getattr(index, "suffix_orders", None)
+    monkeypatch.setattr(index, "suffix_orders", lambda *a: calls.append(1) or orders(*a), raising=False)
+    got = {}
+    for b in index.whole_suffix_array(Arrays())(iter([given])):
+        assert b.nbytes < 6 * sum(map(len, b.column(2))) + 28 * b.num_rows  # a number takes 4 bytes on its way
+        for i, begin, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            assert begin == len(got.setdefault(i, []))
+            got[i].extend(x)
+    assert got == {i or None: [p + 1 for p in naive_rows(t)[0]] for i, t in enumerate(texts)}
+    assert 0 < len(calls) <= 1 + sum(len(t) + 1 for t in texts) // index.TOGETHER
+
+
+def test_texts_ordered_together_in_all_columns(spark, monkeypatch):
+    """Groups of any size, also of one text, give what each text gives alone."""
+    r = random.Random(13)
+    texts = {i: "".join(r.choice("abé") for _ in range(r.choice([0, 2, 40, 200]))) for i in range(60)} | {60: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    for together in (1, 90, 1 << 20):
+        monkeypatch.setattr(index, "TOGETHER", together, raising=False)
+        kinds = (index.whole_suffix_array(df), index.whole_suffix_array(df, 7), index.whole_isa_sample(df, 5), index.whole_lf_mapping(df), index.whole_bwt(df))
+        got = [collections.defaultdict(list) for _ in kinds]
+        for into, made in zip(got, kinds, strict=True):
+            assert all(kind in ("bigint", "string") for _, kind in made.dtypes)
+            for x in made.collect():
+                into[x[0]].append(tuple(x)[1:])
+        for i, t in texts.items():
+            if t is None:
+                assert not any(i in x for x in got)
+                continue
+            order, last = naive_rows(t)
+            at = {p: row for row, p in enumerate(order)}
+            assert sorted(got[0][i]) == [(row, p + 1) for row, p in enumerate(order)]
+            assert sorted(got[1][i]) == [(row, p + 1) for row, p in enumerate(order)][::7]
+            assert sorted(got[2][i]) == [(p, at[p]) for p in range(0, len(order), 5)]
+            assert sorted(got[3][i]) == [(row, last[:row].count(last[row]), at[p - 1] if p else 0) for row, p in enumerate(order)]
+            assert got[4][i] == [("".join(b or "$" for b in last), at[0])]
+
+
 def test_bits_against_counting(spark):
     r = random.Random(11)
     texts = ["", "a", "0", "a" * 64, "b" * 64 + "a", None, *("".join(r.choice("abA01é😀\n$\\") for _ in range(r.choice([63, 64, 65, 128, 500]))) for _ in range(12))]
